@@ -250,7 +250,7 @@ def drop_invalid_intervals(
     first = F.greatest(F.col(start), span["lo"])
     last = F.least(F.col(end), span["hi"])
     pieces = (
-        bad.where(first <= last)
+        bad.where(span["lo"].isNotNull() & (first <= last))
         .select(key, start, end, F.explode(F.sequence(day_of(first), day_of(last))).alias("_day"))
         .withColumnsRenamed({start: "_start", end: "_end"})
     )

@@ -98,11 +98,11 @@ def score_windows(
                     y = np.asarray(model(x.astype(float)), dtype=float).reshape(len(part), -1)
                     yield part[[*keys, "_times"]].assign(_preds=list(y))
 
-    stamps = F.transform(F.col(seq), lambda s: F.unix_micros(s[ts]))
+    # a field of an array of structs is the array of that field
     inputs = df.select(
         *keys,
-        stamps.alias("_times"),
-        *[F.transform(F.col(seq), lambda s, f=f: s[f].cast("double")).alias(f"_x{k}") for k, f in enumerate(features)],
+        F.transform(F.col(f"{seq}.{ts}"), F.unix_micros).alias("_times"),
+        *[F.col(f"{seq}.{f}").cast("array<double>").alias(f"_x{k}") for k, f in enumerate(features)],
     )
     scored = inputs.mapInPandas(run, schema)
     return scored.select(*keys, F.posexplode(F.arrays_zip("_times", "_preds")).alias("step", "z")).select(
