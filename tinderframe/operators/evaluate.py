@@ -115,9 +115,9 @@ def class_errors(df: DataFrame, model: str = "Model") -> DataFrame:
             F.lit(c).alias("fm_class"),
             F.avg(F.when(moisture_class(F.col("fm")) == c, r)).alias("bias"),
             F.sqrt(F.avg(F.when(moisture_class(F.col("fm")) == c, r * r))).alias("rmse"),
-            (
-                F.avg(F.when(moisture_class(F.col("fm")) == c, F.abs(r)))
-                / F.avg(F.when(moisture_class(F.col("fm")) == c, F.col("fm")))
+            F.try_divide(
+                F.avg(F.when(moisture_class(F.col("fm")) == c, F.abs(r))),
+                F.avg(F.when(moisture_class(F.col("fm")) == c, F.col("fm"))),
             ).alias("rel_error"),
         )
         for c in MOISTURE_CLASSES
@@ -161,7 +161,7 @@ def lead_curve(df: DataFrame, lead: Column, keys: Sequence[str] = ()) -> DataFra
     """Mean squared error and its standard error by forecast hour."""
     e = F.pow(F.col("fm") - F.col("preds"), F.lit(2))
     return df.groupBy(*keys, lead.alias("lead")).agg(
-        F.avg(e).alias("mse"), (F.stddev_samp(e) / F.sqrt(F.count(e))).alias("se")
+        F.avg(e).alias("mse"), F.try_divide(F.stddev_samp(e), F.sqrt(F.count(e))).alias("se")
     )
 
 
@@ -214,7 +214,7 @@ def translated_ensemble(df: DataFrame, keys: Sequence[str], ts: str = "date_time
 def ablation_table(df: DataFrame, config: str, metric: str, baseline) -> DataFrame:
     """Relative difference of each configuration's metric from the baseline's."""
     base = df.where(F.col(config) == baseline).agg(F.max(metric)).scalar()
-    return df.withColumn("rel_diff", (F.col(metric) - base) / base)
+    return df.withColumn("rel_diff", F.try_divide(F.col(metric) - base, base))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:

@@ -20,9 +20,9 @@ def fit_standard(train: DataFrame, cols: Sequence[str], weight: str | None = Non
             mean, sd = F.avg(x), F.stddev_pop(x)
         else:
             w = F.when(x.isNotNull(), F.col(weight))
-            mean = F.sum(w * x) / F.sum(w)
+            mean = F.try_divide(F.sum(w * x), F.sum(w))
             # one pass; good to ~1e-12 for means up to 1,000 deviations from zero
-            var = F.sum(w * x * x) / F.sum(w) - mean * mean
+            var = F.try_divide(F.sum(w * x * x), F.sum(w)) - mean * mean
             sd = F.sqrt(F.greatest(var, F.lit(0.0)))
         aggs.append(F.struct(mean.alias("center"), F.when(sd > 0, sd).otherwise(1.0).alias("spread")).alias(c))
     return train.agg(*aggs)

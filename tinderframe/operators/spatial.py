@@ -15,6 +15,7 @@ from tinderframe.operators.clean import within_bbox
 
 _FAN = 4  # a cell splits into 4 x 4 smaller ones
 _MAX_DEPTH = 12
+_BROADCAST_CELLS = 100_000  # counted beforehand; about 10 MB of cell rows
 
 
 def _cell(x: Column, origin: float, side: float, depth: int) -> Column:
@@ -54,14 +55,13 @@ def nearest_join(
     grid: a cell stays a candidate only if its nearest edge is not farther than the closest
     known node. So a point meets a handful of cells per level and finally the nodes of a
     few small cells, however unevenly nodes or points are spread: never all pairs of a
-    crowded area. Cells join on their parent's index; Spark broadcasts them while they are
-    below its threshold and shuffles them beyond.
+    crowded area. Cells join on their parent's index; they are broadcast while their counted
+    number is small, and shuffled (with AQE splitting crowded cells) beyond.
     """
     node = list(node)
     # equal locations tie, so only the smallest node key of each can win
     nodes = grid.groupBy(lat, lon).agg(F.min(F.struct(*node)).alias("_node"))
-    ext = nodes.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
-    lat0, lat1, lon0, lon1 = ext
+    lat0, lat1, lon0, lon1 = nodes.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
     if lat0 is None:
         return points.select(point_key, *[F.lit(None).alias(c) for c in node], F.lit(None).alias("dist_km")).limit(0)
     side = max(lat1 - lat0, lon1 - lon0, 1e-9)
@@ -79,15 +79,17 @@ def nearest_join(
     per_cell = levels.groupBy("depth", F.floor(F.col("cy") / shrink), F.floor(F.col("cx") / shrink)).agg(
         F.sum("count").alias("n")
     )
-    fullest = {r["depth"]: r["n"] for r in per_cell.groupBy("depth").agg(F.max("n").alias("n")).collect()}
-    depth = next((d for d in range(_MAX_DEPTH + 1) if fullest[d] <= leaf), _MAX_DEPTH)
+    shape = per_cell.groupBy("depth").agg(F.max("n").alias("fullest"), F.count(F.lit(1)).alias("cells"))
+    shape = {row["depth"]: row for row in shape.collect()}
+    depth = next((d for d in range(_MAX_DEPTH + 1) if shape[d]["fullest"] <= leaf), _MAX_DEPTH)
 
     cand = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         point_key,
         F.col(lat).alias("_plat"),
         F.col(lon).alias("_plon"),
-        F.lit(0).cast("long").alias("cy"),
-        F.lit(0).cast("long").alias("cx"),
+        # the root cell; not a literal, which would turn the first join into a nested loop
+        F.floor(F.col(lat) * 0.0).alias("cy"),
+        F.floor(F.col(lon) * 0.0).alias("cx"),
     )
     for d in range(1, depth + 1):
         cells = (
@@ -101,6 +103,8 @@ def nearest_join(
             )
             .withColumns({"py": F.floor(F.col("cy") / _FAN), "px": F.floor(F.col("cx") / _FAN)})
         )
+        if shape[d]["cells"] <= _BROADCAST_CELLS:
+            cells = F.broadcast(cells)
         parents = cand.withColumnsRenamed({"cy": "py", "cx": "px"})
         near = parents.join(cells, ["py", "px"]).withColumns(
             {
