@@ -65,15 +65,14 @@ def error_tables(df: DataFrame, grains: dict[str, Sequence[str]], model: str = "
 
 def named_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean, exact median, MAE, MSE and count of the residuals by group."""
-    rows = residuals(df)
-    sums = rows.groupBy(*keys).agg(
-        F.avg("residual").alias("mean"),
-        F.avg("abs_error").alias("mae"),
-        F.avg("squared_error").alias("mse"),
-        F.count("residual").alias("count"),
-    )
-    middle = exact_median(rows, keys, "residual")
-    return sums.join(middle, list(keys)).select(*keys, "mean", "median", "mae", "mse", "count")
+    sums = {
+        "mean": F.avg("residual"),
+        "mae": F.avg("abs_error"),
+        "mse": F.avg("squared_error"),
+        "count": F.count("residual"),
+    }
+    found = exact_median(residuals(df), keys, "residual", also=sums)
+    return found.select(*keys, "mean", "median", "mae", "mse", "count")
 
 
 def best_config(metrics: DataFrame, config: str, metric: str = "mse") -> DataFrame:

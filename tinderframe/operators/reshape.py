@@ -154,7 +154,9 @@ def hash_rank(
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "median") -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: Sequence[str], col: str, out: str = "median", also: dict[str, Column] | None = None
+) -> DataFrame:
     """Exact median per key, also where one key holds most of the rows.
 
     A mergeable sketch brackets the middle ranks: the bracket is five times as wide as the
@@ -162,23 +164,26 @@ def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "media
     the rows inside it are counted per distinct value and numbered in 4,096 slices of the
     bracket, like the ranks of :func:`hash_rank`. Two passes over the data, both combined
     on the map side; the plain ``median`` would gather a key's distinct values in one task.
+    ``also`` names further aggregates to take along in the first pass.
     """
-    keys = list(keys)
+    keys, also = list(keys), also or {}
     width, accuracy, slices = 0.0005, 10_000, 4096
     v = F.col("_v")
-    rows = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col(col).isNotNull() & ~F.isnan(col))
+    rows = df.withColumn("_v", F.col(col).cast("double")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     cut = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        *[a.alias(name) for name, a in also.items()],
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", F.array(F.lit(0.5 - width), F.lit(0.5 + width)), accuracy).alias("_cut"),
     )
     low, high = F.get("_cut", 0), F.get("_cut", 1)
     part = F.floor((v - low) / (high - low) * slices).cast("int")
     inside = (
-        rows.join(cut, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        rows.select(*keys, "_v")
+        .join(cut, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
         .where(v <= high)
         .withColumn("_slice", F.when(v < low, -1).when(high > low, part).otherwise(0))
         .withColumn("_v", F.when(v >= low, v))
-        .groupBy(*keys, "_n", "_slice", "_v")
+        .groupBy(*keys, *also, "_n", "_slice", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     sizes = inside.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size"))
@@ -197,4 +202,5 @@ def exact_median(df: DataFrame, keys: Sequence[str], col: str, out: str = "media
     first = last - F.col("_c") + 1
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     middle = [F.max(F.when(r.between(first, last), v)) for r in (lower, upper)]
-    return ranked.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias(out))
+    taken = [F.first(name).alias(name) for name in also]  # one value per key
+    return ranked.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias(out), *taken)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tinderframe.functions.times import as_timestamp, hour_number
 from tinderframe.operators.reshape import hash_rank
+from tinderframe.session import cut_lineage
 
 Span = tuple[str, str]  # first and last hour, both included
 
@@ -63,10 +64,11 @@ def spatial_split(
     ``bround(frac * N)`` test stations come from those with data in the test span, as many
     validation stations from the other stations that cover the whole validation span, the
     rest trains. Replication ``r`` uses the seed ``seed + r``; all replications are one
-    table ``(rep, stid, split)``.
+    table ``(rep, stid, split)``. The readings are scanned once, for the station list; the
+    draws only see that list.
     """
     spans = {"val": val} | ({"test": test} if test else {})
-    stations = _coverage(df, spans, key, ts)
+    stations = cut_lineage(_coverage(df, spans, key, ts))
     size = stations.agg(F.bround(F.count(F.lit(1)) * frac).cast("long")).scalar()
     every = stations.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     rep_seed = F.lit(seed) + F.col("rep")

@@ -10,6 +10,7 @@ from tinderframe.operators.clean import drop_invalid_intervals, in_range
 from tinderframe.operators.evaluate import residuals
 from tinderframe.operators.series import drop_linear_runs, interpolate_hourly, spinup_periods
 from tinderframe.plans.moisture import forecast_hours, kalman_forecast
+from tinderframe.session import cut_lineage
 
 
 def add_predictors(weather: DataFrame, ts: str = "date_time") -> DataFrame:
@@ -67,7 +68,11 @@ def physics_forecast(
 def for_replications(
     forecasts: DataFrame, splits: DataFrame, key: str = "stid", period: str = "period", rep: str = "rep"
 ) -> DataFrame:
-    """Give each replication the forecasts of its test stations, where more than one takes part."""
+    """Give each replication the forecasts of its test stations, where more than one takes part.
+
+    The forecasts are stored once: the check and all replications read the stored rows.
+    """
+    forecasts = cut_lineage(forecasts)
     test = splits.where(F.col("split") == "test").select(rep, key)
     pairs = forecasts.select(key, period).distinct().join(test, key)
     shared = (

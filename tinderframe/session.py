@@ -1,14 +1,14 @@
 """Session settings shared by the tests and the benchmark.
 
-On a cluster the session comes from outside; only ``use_utc`` and
-``ensure_checkpoint_dir`` touch it, and both keep what is already set.
+On a cluster the session comes from outside. ``use_utc`` sets its time zone, and
+``ensure_checkpoint_dir`` names a checkpoint folder only where none is set.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,3 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and go on from the stored rows.
+
+    For tables that several branches of a plan read: they are neither computed twice nor
+    lost with an executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
