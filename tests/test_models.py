@@ -174,6 +174,12 @@ def test_climatology_equals_brute_force(spark):
         assert v == (pytest.approx(want[k]) if want[k] is not None else None)
 
 
+def test_wide_forecasts(spark):
+    clim = spark.createDataFrame([("a", T0, 1.0), ("b", T0, None), ("b", T0 + timedelta(days=1), 2.0)], "stid string, forecast_time timestamp, preds double")
+    got = {tuple(r) for r in CL.wide_forecasts(clim, [T0, T0 + timedelta(days=1)]).collect()}
+    assert got == {("a", 1.0, None), ("b", None, 2.0)}
+
+
 # --- splits ------------------------------------------------------------------------------------
 
 
@@ -280,6 +286,15 @@ def test_half_even_text(spark):
     assert one(spark, E.format_mean_std(F.lit(3.025), F.lit(1.115)))[0] in ("3.02 ± 1.12",)
 
 
+def test_sensor_rows_with_two_units_are_refused(spark):
+    rows = [("a", T0, "air_temp", 1.0, u, 1.0, 2.0, 3.0) for u in ("Celsius", "K")]
+    df = spark.createDataFrame(rows, "stid string, date_time timestamp, variable string, value double, units string, lat double, lon double, elev double")
+    with pytest.raises(ValueError, match="air_temp"):
+        B.sensor_series(df, ["air_temp"], T0, T0)
+    got = B.sensor_series(df.limit(1), ["air_temp"], T0, T0 + timedelta(hours=1)).collect()
+    assert [r["temp"] for r in got] == [pytest.approx(274.15)] * 2 and got[0]["elev"] == pytest.approx(0.9144)
+
+
 # --- learners and grids ------------------------------------------------------------------------
 
 

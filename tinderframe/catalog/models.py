@@ -483,6 +483,72 @@ def score_windows(t: Inputs):
     return L.score_windows(seqs, ["stid", "period"], "seq", ["Ed", "Ew", "rain"], _toy_model)
 
 
+_SENSORS = {"click": "air_temp", "view": "relative_humidity", "purchase": "precip_accum", "signup": "fuel_moisture"}
+
+
+@query(
+    "sensor_series",
+    "",
+    f"""with ev as (select user_id % 16 as stid, epoch_us(ts) as us, event_type as var,
+        case when event_type = 'click' then value / 20 + 273.15 when event_type = 'view' then least(value, 100) else value end as v
+      from events where event_type in ('click', 'view', 'purchase', 'signup')),
+    hrs as (select stid, var, epoch_us(h) as us from (select distinct stid, var from ev),
+      generate_series(timestamp '{START}', timestamp '{END}', interval 1 hour) g(h)),
+    u as (select stid, var, us, us as kus, v, 0 as mark from ev union all select stid, var, us, null, null, 1 from hrs),
+    b as (select stid, var, us, mark, last_value(kus ignore nulls) over l as t0, last_value(v ignore nulls) over l as v0,
+        first_value(kus ignore nulls) over f as t1, first_value(v ignore nulls) over f as v1 from u
+      window l as (partition by stid, var order by us, mark rows between unbounded preceding and current row),
+        f as (partition by stid, var order by us, mark desc rows between current row and unbounded following)),
+    i as (select stid, us, var, case when t0 is null then v1 when t1 is null or t1 = t0 then v0
+        else v0 + (v1 - v0) / (t1 - t0) * (us - t0) end as v from b where mark = 1),
+    w as (select stid, us, max(v) filter (var = 'click') as temp, max(v) filter (var = 'view') as rh,
+        max(v) filter (var = 'purchase') as acc, max(v) filter (var = 'signup') as fm from i group by stid, us)
+    select stid, us as date_time, {r('temp')} as temp, {r('rh')} as rh, {r('fm')} as fm, {r('(stid + 3) * 0.3048')} as elev,
+      {r(_ED)} as "Ed", {r(_EW)} as "Ew", cast(hour(make_timestamp(us)) as int) as hod,
+      {r('coalesce(acc - lag(acc) over (partition by stid order by us), 0)')} as rain from w""",
+)
+def sensor_series(t: Inputs):
+    """Event types as sensors, with units and a station constant."""
+    kind, v = F.col("event_type"), F.col("value")
+    sensor = F.create_map(*[F.lit(x) for kv in _SENSORS.items() for x in kv])
+    rows = t.table("events").select(
+        (F.col("user_id") % 16).alias("stid"),
+        F.col("ts").alias("date_time"),
+        F.try_element_at(sensor, kind).alias("variable"),
+        F.when(kind == "click", v / 20).when(kind == "view", F.least(v, F.lit(100.0))).otherwise(v).alias("value"),
+        F.when(kind == "click", "Celsius").otherwise("other").alias("units"),
+        (F.col("user_id") % 16 + 3).cast("double").alias("elev"),
+    )
+    made = B.sensor_series(rows, list(_SENSORS.values()), START, END, static=["elev"])
+    return made.select("stid", T, "temp", "rh", "fm", "elev", "Ed", "Ew", "hod", "rain")
+
+
+@query(
+    "grid_forecast",
+    "grid",
+    f"""with cube as (select l_suppkey % 8 as y, l_partkey % 12 as x, timestamp '{START}' + interval 1 hour * (l_orderkey % 48) as time,
+        avg(l_quantity) as rh, avg(l_tax) * 100 as rain from lineitem group by 1, 2, 3),
+    j as (select c.*, g.elev from cube c join grid g on g.y = c.y and g.x = c.x),
+    s as (select y, x, time, (rh - (select avg(rh) from j)) / (select stddev_pop(rh) from j) as rh, (elev - (select avg(elev) from j)) / (select stddev_pop(elev) from j) as elev,
+        (rain - (select avg(rain) from j)) / (select stddev_pop(rain) from j) as rain from j),
+    o as (select *, row_number() over w - 1 as step, lag(rh) over w as before from s window w as (partition by y, x order by time))
+    select y, x, cast(step as int) as step, epoch_us(time) as time, {r('0.5 * rh + 0.3 * elev - 0.2 * rain + 0.1 * coalesce(before, 0)')} as preds from o""",
+)
+def grid_forecast(t: Inputs):
+    """Weather cube and terrain, scaled and scored cell by cell."""
+    hour = F.unix_seconds(F.lit(START).cast("timestamp")) + F.col("l_orderkey") % 48 * 3600
+    cube = (
+        t.table("lineitem")
+        .groupBy(
+            (F.col("l_suppkey") % 8).alias("y"), (F.col("l_partkey") % 12).alias("x"), F.timestamp_seconds(hour).alias("time")
+        )
+        .agg(F.avg("l_quantity").alias("rh"), (F.avg("l_tax") * 100).alias("rain"))
+    )
+    terrain, features = t.grid.select("y", "x", "elev"), ["rh", "elev", "rain"]
+    stats = SC.fit_standard(cube.join(terrain, ["y", "x"]), features)
+    return B.grid_forecast(cube, terrain, stats, features, _toy_model)
+
+
 # --- grids ------------------------------------------------------------------------------------
 
 

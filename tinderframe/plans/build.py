@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-from tinderframe.functions.physics import MoistureParams, drying_equilibrium, wetting_equilibrium
+from tinderframe.functions.physics import (
+    MoistureParams,
+    drying_equilibrium,
+    feet_to_metres,
+    to_kelvin,
+    wetting_equilibrium,
+)
 from tinderframe.functions.times import day_of_year, hour_of_day
-from tinderframe.operators.clean import drop_invalid_intervals, in_range
+from tinderframe.operators.clean import SENSOR_NAMES, drop_invalid_intervals, in_range, unit_conflicts
 from tinderframe.operators.evaluate import residuals
-from tinderframe.operators.series import drop_linear_runs, interpolate_hourly, spinup_periods
+from tinderframe.operators.scale import scale
+from tinderframe.operators.series import (
+    drop_linear_runs,
+    first_difference,
+    interpolate_hourly,
+    ordered_sequence,
+    spinup_periods,
+)
+from tinderframe.operators.spatial import terrain_join
+from tinderframe.plans.learners import PredictFn, score_windows
 from tinderframe.plans.moisture import forecast_hours, kalman_forecast
 from tinderframe.session import cut_lineage
 
@@ -26,6 +43,42 @@ def add_predictors(weather: DataFrame, ts: str = "date_time") -> DataFrame:
     )
 
 
+def sensor_series(
+    rows: DataFrame,
+    variables: Sequence[str],
+    start,
+    end,
+    static: Sequence[str] = ("lat", "lon", "elev"),
+    check_units: bool = True,
+) -> DataFrame:
+    """Hourly station series from sensor rows ``(stid, date_time, variable, value, units, ...)``.
+
+    Variables get their names here, temperature is turned to Kelvin and elevation to metres;
+    then every variable is interpolated by itself, equilibria, calendar features and hourly
+    rain are added. The rows are never pivoted: each variable is a conditional column of the
+    aggregate that reduces them to hours, so raw readings are shuffled only as hourly rows.
+    """
+    rows = rows.where(F.col("variable").isin(*variables))
+    if check_units:
+        mixed = [r["variable"] for r in unit_conflicts(rows).collect()]  # at most one row per variable
+        if mixed:
+            raise ValueError(f"variables without one unit: {', '.join(sorted(mixed))}")
+    value = F.when(F.col("variable") == "air_temp", to_kelvin(F.col("value"), F.col("units"))).otherwise(F.col("value"))
+    names = {v: SENSOR_NAMES.get(v, v) for v in variables}
+    wide = rows.select(
+        "stid",
+        "date_time",
+        *[F.when(F.col("variable") == v, value).alias(n) for v, n in names.items()],
+        *[(feet_to_metres(F.col(c)) if c == "elev" else F.col(c)).alias(c) for c in static],
+    )
+    hourly = interpolate_hourly(wide, ["stid"], "date_time", list(names.values()), start, end, static)
+    if {"rh", "temp"} <= set(names.values()):
+        hourly = add_predictors(hourly)
+    if "precip_accum" in names.values():
+        hourly = first_difference(hourly, ["stid"], "date_time", "precip_accum", "rain")
+    return hourly
+
+
 def merge_weather(obs: DataFrame, weather: DataFrame, key: str = "stid", ts: str = "date_time") -> DataFrame:
     """Observations with the weather of the same station and hour; clashing names get ``_atm``.
 
@@ -82,3 +135,23 @@ def for_replications(
     )
     chosen = pairs.join(shared.select(rep, period), [rep, period], "left_semi")
     return forecasts.join(chosen, [key, period])
+
+
+def grid_forecast(
+    cube: DataFrame,
+    terrain: DataFrame,
+    stats: DataFrame,
+    features: Sequence[str],
+    load_model: Callable[[], PredictFn],
+    ts: str = "time",
+    node: Sequence[str] = ("y", "x"),
+    batch_size: int = 1024,
+) -> DataFrame:
+    """Forecast of every grid cell: terrain joined, features scaled, one sequence per cell scored.
+
+    Returns ``node, step, ts, preds``. A cell's sequence is one forecast run, so its length
+    is fixed; cells are spread by Spark and scored in batches.
+    """
+    scaled = scale(terrain_join(cube, terrain, node), stats, features)
+    seqs = ordered_sequence(scaled, list(node), ts, features)
+    return score_windows(seqs, list(node), "seq", features, load_model, ts, batch_size)

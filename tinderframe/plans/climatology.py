@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tinderframe.functions.times import as_timestamp, time_range, yearly_anchors
@@ -102,3 +104,10 @@ def climatology_errors(clim: DataFrame, observed: DataFrame, key: str = "stid",
     """Forecasts next to observations at the same (station, stamp); both must be known."""
     forecasts = clim.withColumnRenamed("forecast_time", ts).where(F.col("preds").isNotNull())
     return observed.where(F.col("fm").isNotNull()).join(forecasts, [key, ts])
+
+
+def wide_forecasts(clim: DataFrame, times: Sequence, key: str = "stid") -> DataFrame:
+    """Report with one column per given forecast time; the long form is the one to compute with."""
+    names = F.date_format("forecast_time", "yyyy-MM-dd HH:mm:ss")
+    stamps = [str(t) for t in times]
+    return clim.withColumn("_t", names).groupBy(key).pivot("_t", stamps).agg(F.max("preds"))

@@ -191,6 +191,12 @@ def file_token(name: Column, index: int, sep: str = "_") -> Column:
     return F.get(F.split(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), sep), index)
 
 
+def with_source_token(df: DataFrame, index: int = 1, out: str = "source") -> DataFrame:
+    """Tag rows with a token of their file's name, e.g. the date that orders the files."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return df.withColumn(out, file_token(name, index))
+
+
 def tile_year(name: Column, index: int = 5) -> Column:
     """Year of a satellite tile from the date token of its name; null outside 2000-2100."""
     year = F.substring(file_token(name, index), 1, 4).try_cast("int")
