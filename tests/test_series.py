@@ -56,9 +56,12 @@ def test_interpolation_equals_numpy(spark, seed):
     np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-12)
 
 
-def test_interpolation_at_any_stamp_equals_numpy(spark):
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_interpolation_at_any_stamp_equals_numpy(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "_SEGMENT_ROWS", most)  # few rows allowed: short segments
     rng = random.Random(5)
     rows = sorted(("a", T0 + timedelta(seconds=rng.randrange(0, 4_000_000)), rng.uniform(0, 50)) for _ in range(70))
+    rows = sorted(rows + [("a", T0 + timedelta(days=2, milliseconds=700 * i), float(i)) for i in range(90)])
     asked = sorted({T0 + timedelta(seconds=rng.randrange(-100_000, 4_200_000)) for _ in range(200)} | {rows[3][1]})
     targets = frame(spark, [("a", t) for t in asked], "stid string, date_time timestamp")
     got = S.interpolate_at(frame(spark, rows), targets, ["stid"], "date_time", "fm").orderBy("date_time").collect()

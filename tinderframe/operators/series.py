@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tinderframe.functions.times import (
+    DAY_SECONDS,
     HOUR_SECONDS,
     as_timestamp,
     hour_number,
@@ -113,41 +114,64 @@ def interpolate_hourly(
     return grid
 
 
-def bracket(
-    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment_hours: int = 168
-) -> DataFrame:
+_SEGMENT_ROWS = 1_000_000  # rows one task may sort for one segment of one key
+
+
+def _segment_seconds(rows: DataFrame, keys: Sequence[str], t: Column) -> int:
+    """An hour, or less if some key has more than ``_SEGMENT_ROWS`` rows in an hour."""
+    per_hour = rows.groupBy(*keys, hour_number(t).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
+    fullest = per_hour.agg(F.max("n")).first()[0] or 0
+    return max(1, HOUR_SECONDS // max(1, -(-fullest // _SEGMENT_ROWS)))
+
+
+def _nearest_outside(edges: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """Add the last reading before and the first after each row's own part of time."""
+    ahead = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy(*within).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    return edges.withColumns(
+        {f"_p{c}": F.last(c, ignorenulls=True).over(ahead) for c in ("_lt", "_lv")}
+        | {f"_n{c}": F.last(c, ignorenulls=True).over(back) for c in ("_ft", "_fv")}
+    )
+
+
+def bracket(readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     """Last reading at or before, and first reading at or after, each target stamp.
 
-    Readings and targets share one sort per (key, segment of time); what lies beyond a
-    segment's border is carried in from a table with one row per (key, segment), so a key
-    with very many readings still spreads over all its segments.
+    Readings and targets share one sort per (key, segment of time). What lies outside a
+    segment is carried in from tables with one row per (key, segment) and per (key, day).
+    Segments last an hour, or less where a key is so busy that an hour of it would be too
+    much for one task, so a key that holds most of the rows spreads over many tasks.
     """
     keys = list(keys)
-
-    def segment(t: Column) -> Column:
-        return F.floor(hour_number(t) / segment_hours)
-
     known = readings.where(F.col(value).isNotNull()).select(
         *keys, F.col(ts).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(True).alias("_knot")
     )
     asked = targets.select(
         *keys, F.col(ts).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(False).alias("_knot")
     )
-    rows = known.unionByName(asked).withColumn("_seg", segment(F.col("_t")))
+    rows = known.unionByName(asked)
+    length = _segment_seconds(rows, keys, F.col("_t"))
+    second = F.unix_seconds("_t")
+    rows = rows.withColumns({"_day": F.floor(second / DAY_SECONDS), "_seg": F.floor(second / length)})
     knot_t, knot_v = F.when(F.col("_knot"), F.col("_t")), F.col("_v")
-    edges = rows.groupBy(*keys, "_seg").agg(
+    segments = rows.groupBy(*keys, "_day", "_seg").agg(
         F.min(knot_t).alias("_ft"),
         F.min_by("_v", knot_t).alias("_fv"),
         F.max(knot_t).alias("_lt"),
         F.max_by("_v", knot_t).alias("_lv"),
     )
-    fwd = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    rev = W.partitionBy(*keys).orderBy(F.desc("_seg")).rowsBetween(W.unboundedPreceding, -1)
-    carry = edges.select(
-        *keys,
-        "_seg",
-        *[F.last(c, ignorenulls=True).over(fwd).alias(f"_p{c}") for c in ("_lt", "_lv")],
-        *[F.last(c, ignorenulls=True).over(rev).alias(f"_n{c}") for c in ("_ft", "_fv")],
+    days = segments.groupBy(*keys, "_day").agg(
+        F.min("_ft").alias("_ft"),
+        F.min_by("_fv", "_ft").alias("_fv"),
+        F.max("_lt").alias("_lt"),
+        F.max_by("_lv", "_lt").alias("_lv"),
+    )
+    outside = ["_p_lt", "_p_lv", "_n_ft", "_n_fv"]
+    of_day = _nearest_outside(days, keys, "_day").select(*keys, "_day", *[F.col(c).alias(f"_d{c}") for c in outside])
+    carry = (
+        _nearest_outside(segments, [*keys, "_day"], "_seg")
+        .join(of_day, [*keys, "_day"])
+        .select(*keys, "_seg", *[F.coalesce(c, f"_d{c}").alias(c) for c in outside])
     )
     inner = W.partitionBy(*keys, "_seg")
     # readings come first among equal stamps in both directions: "at or before", "at or after"

@@ -11,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tinderframe.session import cut_lineage
+
 
 def boosted_trees(**overrides) -> GBTRegressor:
     """Gradient-boosted trees with the documented default settings."""
@@ -44,12 +46,17 @@ def feature_matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
 
 
 def fit(estimator, train: DataFrame, features: Sequence[str], target: str = "fm", weight: str | None = None):
-    """Fit on the selected features, optionally weighting rows; returns a pipeline model."""
+    """Fit on the selected features, optionally weighting rows; returns a pipeline model.
+
+    Trees pass over their rows many times, so these are stored once beforehand.
+    """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     estimator = estimator.setLabelCol(target)
     if weight is not None:
         estimator = estimator.setWeightCol(weight)
     rows = assembler.transform(train).select("features", target, *([weight] if weight else []))
+    if isinstance(estimator, (GBTRegressor, RandomForestRegressor)):
+        rows = cut_lineage(rows)
     return PipelineModel([assembler, estimator.fit(rows)])
 
 
