@@ -363,6 +363,27 @@ def learning_table(t: Inputs):
     return table.select("stid", T, "fm", "Ed", "Ew", "rain", "st_period")
 
 
+@query(
+    "weather_filled",
+    "weather",
+    f"""with g as (select stid, date_time, epoch_us(date_time) as us, case when rh < 60 then rh end as rh, case when rain = 0 then temp end as temp from weather),
+    n as (select *, last_value(case when rh is not null then us end ignore nulls) over l as r0, last_value(rh ignore nulls) over l as x0,
+        first_value(case when rh is not null then us end ignore nulls) over f as r1, first_value(rh ignore nulls) over f as x1,
+        last_value(case when temp is not null then us end ignore nulls) over l as s0, last_value(temp ignore nulls) over l as y0,
+        first_value(case when temp is not null then us end ignore nulls) over f as s1, first_value(temp ignore nulls) over f as y1 from g
+      window l as (partition by stid order by us rows between unbounded preceding and current row),
+        f as (partition by stid order by us rows between current row and unbounded following))
+    select stid, us as date_time, {r('case when r0 is null then x1 when r1 is null or r1 = r0 then x0 else x0 + (x1 - x0) / (r1 - r0) * (us - r0) end')} as rh,
+      {r('case when s0 is null then y1 when s1 is null or s1 = s0 then y0 else y0 + (y1 - y0) / (s1 - s0) * (us - s0) end')} as temp from n""",
+)
+def weather_filled(t: Inputs):
+    """Missing weather values interpolated over the hours a station has."""
+    gaps = t.weather.withColumns(
+        {"rh": F.when(F.col("rh") < 60, F.col("rh")), "temp": F.when(F.col("rain") == 0, F.col("temp"))}
+    )
+    return S.fill_missing(gaps, ["stid"], T, ["rh", "temp"]).select("stid", T, "rh", "temp")
+
+
 @query(
     "atm_merge",
     "hourly weather",

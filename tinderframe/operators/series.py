@@ -85,9 +85,15 @@ def interpolate_hourly(
     for c in cols:
         for side in ("t", "v"):
             left, right = F.col(f"_{side}1_{c}"), F.col(f"_{side}0_{c}")
-            brackets[f"_{side}l_{c}"] = F.last(left, ignorenulls=True).over(before)
-            brackets[f"_{side}e_{c}"] = F.last(left, ignorenulls=True).over(upto)
-            brackets[f"_{side}r_{c}"] = F.last(right, ignorenulls=True).over(here_on)
+            if len(cols) == 1:  # every row has a reading: its neighbours are the nearest ones
+                found = F.lag(left).over(asc), left, right
+            else:
+                found = (
+                    F.last(left, ignorenulls=True).over(before),
+                    F.last(left, ignorenulls=True).over(upto),
+                    F.last(right, ignorenulls=True).over(here_on),
+                )
+            brackets |= {f"_{side}{k}_{c}": col for k, col in zip("ler", found)}
     first_mark, last_mark = hour_number(as_timestamp(start)), hour_number(as_timestamp(end))
     hour = F.col("_hour")
     placed = knots.withColumns(
@@ -195,6 +201,25 @@ def bracket(readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: st
     )
 
 
+def fill_missing(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+    """Replace missing values by interpolation between the key's nearest known rows.
+
+    For hourly tables: no rows are added, both ends hold the nearest value.
+    """
+    keys = list(keys)
+    upto = W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, W.currentRow)
+    from_end = W.partitionBy(*keys).orderBy(F.desc(ts)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = {}
+    for c in cols:
+        known = F.col(c).isNotNull() & ~F.isnan(c)
+        stamp, value = F.when(known, F.unix_micros(F.col(ts))), F.when(known, F.col(c))
+        left, right = (
+            [F.last(x, ignorenulls=True).over(w) for x in (stamp, value)] for w in (upto, from_end)
+        )
+        filled[c] = F.when(known, F.col(c)).otherwise(_between(F.unix_micros(F.col(ts)), *left, *right))
+    return df.withColumns(filled)
+
+
 def interpolate_at(
     readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from tinderframe.operators.evaluate import residuals
 from tinderframe.operators.scale import scale
 from tinderframe.operators.series import (
     drop_linear_runs,
+    fill_missing,
     first_difference,
     interpolate_hourly,
     ordered_sequence,
@@ -97,10 +98,15 @@ def learning_table(
     fm_bounds: tuple = (1, 90),
     block_hours: int = 72,
     max_linear: int = 3,
+    weather_columns: Sequence[str] = ("rh", "temp", "rain"),
 ) -> DataFrame:
-    """Range check, hourly grid, weather join, removal of straight-line blocks and bad intervals."""
+    """Range check, hourly grid, weather join, removal of straight-line blocks and bad intervals.
+
+    Missing values of the weather columns are interpolated over the station's own hours.
+    """
     checked = readings.withColumn("fm", in_range(F.col("fm"), *fm_bounds))
     hourly = interpolate_hourly(checked, ["stid"], "date_time", ["fm"], start, end)
+    weather = fill_missing(weather, ["stid"], "date_time", weather_columns)
     merged = merge_weather(hourly, add_predictors(weather))
     kept = drop_linear_runs(merged, ["stid"], "date_time", "fm", n=block_hours, threshold=max_linear)
     return kept if invalid is None else drop_invalid_intervals(kept, invalid)
