@@ -7,6 +7,7 @@ On a cluster the session comes from outside. ``use_utc`` sets its time zone, and
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a stage table, next to the checkpoints every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
