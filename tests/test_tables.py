@@ -83,7 +83,7 @@ def test_numbered_outputs(spark, tmp_path):
 def test_files_in_order_of_their_date(spark, tmp_path):
     for day, value in (("20240102", 2.0), ("20240101", 1.0), ("20240103", 3.0)):
         rows = spark.createDataFrame([("a", T0, value), (day, T0, value)], "stid string, date_time timestamp, fm double")
-        rows.toPandas().to_parquet(tmp_path / f"fmda_{day}.parquet", coerce_timestamps="us")
+        rows.toPandas().to_parquet(tmp_path / f"day_{day}.parquet", coerce_timestamps="us")
     tagged = TB.with_source_token(TB.read_utc(spark, str(tmp_path)), 1)
     got = {r["stid"]: (r["source"], r["fm"]) for r in R.first_source_wins(tagged, ["stid", "date_time"], "source").collect()}
     assert got["a"] == ("20240101", 1.0) and got["20240103"] == ("20240103", 3.0) and len(got) == 4

@@ -259,7 +259,7 @@ def calendar_parts(t: Inputs):
 @query(
     "name_tokens",
     "",
-    """with f as (select 'SMAP_L3_SM_P_E_' || strftime(o_orderdate, '%Y%m%d') || '_R' || o_orderkey || '_001.h5' as file from orders)
+    """with f as (select 'TILE_L3_SM_P_E_' || strftime(o_orderdate, '%Y%m%d') || '_R' || o_orderkey || '_001.h5' as file from orders)
     select file, split_part(file, '_', 6) as day, cast(substr(split_part(file, '_', 6), 1, 4) as int) as year from f
     where cast(substr(split_part(file, '_', 6), 1, 4) as int) >= 2000
     union all
@@ -268,7 +268,7 @@ def calendar_parts(t: Inputs):
 def name_tokens(t: Inputs):
     """Tile names built from the orders, taken apart again; years before 2000 are no years."""
     day = F.date_format("o_orderdate", "yyyyMMdd")
-    file = F.concat(F.lit("SMAP_L3_SM_P_E_"), day, F.lit("_R"), F.col("o_orderkey"), F.lit("_001.h5"))
+    file = F.concat(F.lit("TILE_L3_SM_P_E_"), day, F.lit("_R"), F.col("o_orderkey"), F.lit("_001.h5"))
     named = t.table("orders").select(file.alias("file"))
     f = F.col("file")
     return named.select("file", TB.file_token(f, 5).alias("day"), TB.tile_year(f).alias("year"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tinderframe.catalog.inputs import END, START, Inputs, query, r
 from tinderframe.functions import physics as P
-from tinderframe.operators import clean as C, evaluate as E, scale as SC, series as S, split as SP
+from tinderframe.operators import evaluate as E, scale as SC, series as S, split as SP
 from tinderframe.plans import build as B, climatology as CL, learners as L, moisture as M, tuning as TU
 
 T = "date_time"

@@ -137,7 +137,8 @@ def hash_rank(
     The order is that of ``md5(seed_key_key...)``, so it depends on neither partitioning nor
     engine. Ranks are counted in 65,536 slices of the hash: rows are numbered inside their
     slice and shifted by the sizes of the slices before it. No task sees more than a slice
-    and no sort is global.
+    and no sort is global. ``keys`` must identify a row (copies would share a slice; drop
+    them first with :func:`first_source_wins`).
     """
     within = list(within)
     hashed = df.withColumn("_h", F.md5(F.concat_ws("_", seed.cast("string"), *[F.col(k).cast("string") for k in keys])))

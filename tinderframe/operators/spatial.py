@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tinderframe.functions.physics import EARTH_RADIUS_KM, great_circle_km
 from tinderframe.operators.clean import within_bbox
+from tinderframe.session import cut_lineage
 
 _FAN = 4  # a cell splits into 4 x 4 smaller ones
 _MAX_DEPTH = 12
@@ -50,6 +51,8 @@ def nearest_join(
 ) -> DataFrame:
     """Nearest grid node of every point by great-circle distance, ties by node key. Exact.
 
+    The static grid is reduced to distinct locations and stored once for all levels below.
+
     The grid is divided into cells, each into 4 x 4 smaller ones, down to a depth where
     none holds more than ``leaf`` distinct locations. A point walks down from the whole
     grid: a cell stays a candidate only if its nearest edge is not farther than the closest
@@ -60,7 +63,7 @@ def nearest_join(
     """
     node = list(node)
     # equal locations tie, so only the smallest node key of each can win
-    nodes = grid.groupBy(lat, lon).agg(F.min(F.struct(*node)).alias("_node"))
+    nodes = cut_lineage(grid.groupBy(lat, lon).agg(F.min(F.struct(*node)).alias("_node")))
     lat0, lat1, lon0, lon1 = nodes.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
     if lat0 is None:
         return points.select(point_key, *[F.lit(None).alias(c) for c in node], F.lit(None).alias("dist_km")).limit(0)
