@@ -100,6 +100,15 @@ def test_incomplete_periods_give_no_forecast(spark):
     assert M.kalman_forecast(forcing(spark, [10] * 71, [10] * 71, [9] * 71, [0] * 71)).count() == 0
 
 
+def test_gaps_and_missing_observations(spark):
+    df = forcing(spark, [10] * 72, [10] * 72, [10] * 72, [0] * 72)
+    late = F.when(F.hour("date_time") == 23, F.col("date_time") + F.expr("interval 90 days")).otherwise(F.col("date_time"))
+    assert M.kalman_forecast(df.withColumn("date_time", late)).count() == 0
+    holed = df.withColumn("fm", F.when(F.col("date_time") != F.lit(T0 + timedelta(hours=5)), F.col("fm")))
+    got = {r["step"]: r["m"] for r in M.kalman_forecast(holed).collect()}
+    assert got[4] is not None and got[5] is None and got[71] is None
+
+
 def test_spread_rates(spark):
     x = spark.createDataFrame([(float(v),) for v in (*P.CALM_MOISTURE, 30.01, 50, -1, 12.3)], "fm double")
     got = {r[0]: r[1] for r in x.select("fm", P.spread_rate_calm(F.col("fm"))).collect()}

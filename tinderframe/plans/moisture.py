@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tinderframe.functions.physics import MoistureParams, moisture_step
+from tinderframe.functions.times import whole_hours_between
 from tinderframe.operators.series import ordered_sequence
 
 
@@ -56,7 +57,8 @@ def kalman_forecast(
     """Run the filter over each complete group of ``params.hours`` hourly rows.
 
     Needs ``fm, Ed, Ew, rain``. Returns one row per hour: keys, ``ts``, ``step``, ``fm``,
-    ``m`` (moisture) and ``c`` (bias). A group is one period, so its size is fixed; Spark
+    ``m`` (moisture) and ``c`` (bias); a missing observation during the start leaves the
+    rest of the period null. Groups with gaps give nothing. A group is one period, so its size is fixed; Spark
     spreads the groups, and each Arrow batch steps through time for all its series at once.
     """
     keys = list(keys)
@@ -68,12 +70,15 @@ def kalman_forecast(
         ms, cs = _filter_batch(*(np.vstack(s.to_list()).astype(float) for s in (fm, ed, ew, rain)), params)
         return pd.DataFrame({"m": list(ms), "c": list(cs)})
 
-    seqs = ordered_sequence(df, keys, ts, ["fm", "Ed", "Ew", "rain"]).where(F.size("seq") == params.hours)
+    seqs = ordered_sequence(df, keys, ts, ["fm", "Ed", "Ew", "rain"])
+    length = whole_hours_between(F.element_at("seq", -1)[ts], F.element_at("seq", 1)[ts]) + 1
+    seqs = seqs.where((F.size("seq") == params.hours) & (length == params.hours))
     state = run("seq.fm", "seq.Ed", "seq.Ew", "seq.rain")
     steps = seqs.select(*keys, "seq", state.alias("state")).select(
         *keys, F.posexplode(F.arrays_zip("seq", "state.m", "state.c")).alias("step", "z")
     )
-    return steps.select(*keys, F.col(f"z.seq.{ts}").alias(ts), "step", F.col("z.seq.fm").alias("fm"), "z.m", "z.c")
+    m, c = (F.nanvl(F.col(f"z.{x}"), F.lit(None)).alias(x) for x in ("m", "c"))
+    return steps.select(*keys, F.col(f"z.seq.{ts}").alias(ts), "step", F.col("z.seq.fm").alias("fm"), m, c)
 
 
 def forecast_hours(states: DataFrame, spinup: int = 24) -> DataFrame:
