@@ -6,6 +6,7 @@ On a cluster the session comes from outside. ``use_utc`` sets its time zone, and
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,24 +38,38 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only if unset."""
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may go without; elsewhere executors and driver would each write
+    to a disk of their own, so the missing setting is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and go on from the stored rows.
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a stage table, next to the checkpoints every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute ``df`` once into a Parquet table in the shared folder and go on from there.
 
     For tables that several branches of a plan read: they are neither computed twice nor
-    lost with an executor.
+    lost with an executor, and later readers prune columns and rows. ``drop_stages``
+    deletes them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a stage table, next to the checkpoints every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of this session; results that still read them must be stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
