@@ -5,10 +5,11 @@ skip-grams (words two apart), lower-cased, hashed to 2**bits. FTRL-proximal keep
 per coordinate and an L1 penalty, so few weights differ from zero and the model is small
 enough to send to every worker whatever the corpus holds.
 
-Training is spread over a fixed number of shards: each runs FTRL over its share of a bounded
-sample of labelled rows, and the shards' weights are averaged, each weighted by the squared
-gradients the shard has seen for that coordinate. The bound is ``max_rows``; rows are drawn by
-a hash of the id. Scoring is a narrow step over all texts, whole ones.
+FTRL is an online method: it runs in one task over a sample of labelled rows that
+``max_rows`` bounds, drawn and ordered by a hash of the id. A fifth of the sample is kept out
+of the passes and fits a logistic calibration of the sum of weights (shrunken weights
+understate the odds), which is folded into weights and bias. Scoring is a narrow step over
+all texts, whole ones.
 
 Defined cases: null and empty texts score the bias alone; labels that are null are not used;
 several labels of one id count as toxic if one of them is; without labelled rows every score
@@ -29,19 +30,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tinderframe.llm.common import mix
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-MODEL_SCHEMA = "bucket long, weight double, seen double"
 
 
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 0.1
+    l1: float = 6.0
+    l2: float = 0.01
     epochs: int = 3
-    shards: int = 6
     max_rows: int = 24_000
+    kept_out: int = 5  # one row in so many calibrates
 
 
 def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,26 +83,51 @@ class Ftrl:
         self.n[buckets] = n + g * g
 
 
-def _train_shard(s: Settings):
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
+def calibration(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that map raw sums to log odds: Platt's method, whose smoothed
+    targets keep separable rows finite. With one class only, sums stay as they are."""
+    ones = int(label.sum())
+    if ones in (0, len(label)):
+        return 1.0, 0.0
+    wanted = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
+    a, b = 1.0, 0.0
+    for _ in range(100):  # Newton steps on two unknowns
+        p = 1.0 / (1.0 + np.exp(-np.clip(a * raw + b, -35, 35)))
+        v = p * (1 - p) + 1e-9
+        slope = np.array([((p - wanted) * raw).sum() + 1e-3 * a, (p - wanted).sum()])
+        curve = np.array([[(v * raw * raw).sum() + 1e-3, (v * raw).sum()], [(v * raw).sum(), v.sum() + 1e-6]])
+        step = np.linalg.solve(curve, slope)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
+def _fit(s: Settings):
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["__order", "__label"], kind="stable")
         model, bias = Ftrl(s), 1 << s.bits
         examples = []
         for text in rows["__text"]:
             _, buckets = features([text], s.bits)
             examples.append(np.append(np.unique(buckets), bias).astype(np.int32))
+        labels = rows["__label"].to_numpy()
+        out = np.arange(len(rows)) % s.kept_out == s.kept_out - 1
         for _ in range(s.epochs):
-            for buckets, label in zip(examples, rows["__label"]):
-                model.learn(buckets, int(label))
+            for i in np.flatnonzero(~out):
+                model.learn(examples[i], int(labels[i]))
         w = model.weights(slice(None))
-        at = np.flatnonzero((w != 0) | (model.n > s.l1))
-        return pd.DataFrame({"bucket": at, "weight": w[at], "seen": model.n[at]})
+        a, b = calibration(np.array([w[examples[i]].sum() for i in np.flatnonzero(out)]), labels[out])
+        w *= a
+        w[bias] += b
+        at = np.flatnonzero(w)
+        return pd.DataFrame({"bucket": at, "weight": w[at]})
 
-    return train
+    return fit
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> pd.DataFrame:
-    """Weights of the labelled documents as rows (bucket, weight), largest part first."""
+    """Weights of the labelled documents as rows (bucket, weight)."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__label"))
     draw = F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 20))
@@ -111,12 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
         known = known.filter(draw < F.lit(int((1 << 20) * s.max_rows / rows)))
     # The sample is bounded by max_rows, so it may be broadcast.
     joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text")).join(F.broadcast(known), "__id")
-    order = F.xxhash64("__id", F.lit("order"))
-    joined = joined.select("__label", "__text", order.alias("__order"), F.pmod(order, F.lit(s.shards)).alias("__shard"))
-    parts = joined.groupBy("__shard").applyInPandas(_train_shard(s), MODEL_SCHEMA)
-    weighed = F.sum(F.col("weight") * F.col("seen")) / F.sum("seen")
-    model = parts.groupBy("bucket").agg(weighed.alias("weight")).filter("weight != 0")
-    return model.toPandas().sort_values("bucket", ignore_index=True)  # 2**bits + 1 rows at most
+    joined = joined.select("__label", "__text", F.xxhash64("__id", F.lit("order")).alias("__order"))
+    model = joined.groupBy(F.lit(0).alias("__all")).applyInPandas(_fit(s), "bucket long, weight double")
+    return model.toPandas().sort_values("bucket", ignore_index=True)  # few of 2**bits + 1 coordinates
 
 
 def score(text: Column, model: pd.DataFrame, s: Settings = Settings()) -> Column:
