@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinderframe.llm import mixing, spans, tokencount, toxicity, urls
+from tinderframe.llm import mixing, simhash, spans, tokencount, toxicity, urls
 from tinderframe.llm.common import share
 
 QUERIES, ORACLES = {}, {}
@@ -91,6 +91,12 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"), "text")
 
 
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 #: Three kinds of source: steady, fading out, and coming in towards the end.
 CURRICULUM = [[(0.0, 1.0), (1.0, 1.0)], [(0.0, 2.0), (1.0, 0.0)], [(0.0, 0.0), (0.5, 1.0), (1.0, 2.0)]]
 _MIX_SQL = r"""
