@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinderframe.llm import mixing, simhash, spans, tokencount, toxicity, urls
+from tinderframe.llm import decontaminate, mixing, simhash, spans, tokencount, toxicity, urls
 from tinderframe.llm.common import share
 
 QUERIES, ORACLES = {}, {}
@@ -97,6 +97,36 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_LEAK_SQL = r"""
+with lower_d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+lower_b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, array_to_string(w[s:s + 9], ' ') as g, least(len(w), 10) as n
+        from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as s from lower_b where len(w) > 0)),
+sizes as (select distinct n from win),
+grams as (select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') as g
+          from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from lower_d, sizes where len(w) >= n)),
+occ as (select distinct g.doc_id, g.s, g.n, g.g from grams g semi join win on win.g = g.g and win.n = g.n),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from occ) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as list
+        from (select distinct occ.doc_id, win.item_id::varchar as i from occ join win on win.g = occ.g and win.n = occ.n) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from lower_d d left join hit on hit.doc_id = d.doc_id left join its on its.doc_id = d.doc_id"""
+
+
+@query("op6_decontaminate", _LEAK_SQL)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("__id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 #: Three kinds of source: steady, fading out, and coming in towards the end.
 CURRICULUM = [[(0.0, 1.0), (1.0, 1.0)], [(0.0, 2.0), (1.0, 0.0)], [(0.0, 0.0), (0.5, 1.0), (1.0, 2.0)]]
 _MIX_SQL = r"""
