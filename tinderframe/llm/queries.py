@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinderframe.llm import decontaminate, mixing, simhash, spans, tokencount, toxicity, urls
+from tinderframe.llm import decontaminate, mixing, ngrams, simhash, spans, tokencount, toxicity, urls
 from tinderframe.llm.common import share
 
 QUERIES, ORACLES = {}, {}
@@ -127,6 +127,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_lm_score")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = share(F.col("doc_id"), 5)
+    docs = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
+    model = ngrams.train(docs.filter("not held_out"))
+    out = ngrams.score_texts(docs, model)
+    tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", tokens, "base_score", "score", ngrams.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
+
+
 #: Three kinds of source: steady, fading out, and coming in towards the end.
 CURRICULUM = [[(0.0, 1.0), (1.0, 1.0)], [(0.0, 2.0), (1.0, 0.0)], [(0.0, 0.0), (0.5, 1.0), (1.0, 2.0)]]
 _MIX_SQL = r"""
