@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinderframe.llm import decontaminate, mixing, ngrams, simhash, spans, tokencount, toxicity, urls
+from tinderframe.llm import decontaminate, mixing, ngrams, simhash, spans, tokencount, topk, toxicity, urls
 from tinderframe.llm.common import share
 
 QUERIES, ORACLES = {}, {}
@@ -138,6 +138,32 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", tokens, "base_score", "score", ngrams.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
 
 
+_TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+n as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from v),
+s as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
+      from n q join n c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 20 = 0 group by 1, 2)
+select query_id, rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 20"""
+
+
+@query("op7_topk", _TOPK_SQL)
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double")))
+    vectors = rows.select("vec_id", F.when(topk.finite(F.col("embedding")), whole).alias("v"))
+    return topk.top_k(vectors, 20, F.col("vec_id") % 20 == 0)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: Three kinds of source: steady, fading out, and coming in towards the end.
 CURRICULUM = [[(0.0, 1.0), (1.0, 1.0)], [(0.0, 2.0), (1.0, 0.0)], [(0.0, 0.0), (0.5, 1.0), (1.0, 2.0)]]
 _MIX_SQL = r"""
