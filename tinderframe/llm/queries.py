@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinderframe.llm import decontaminate, mixing, ngrams, simhash, spans, tokencount, topk, toxicity, urls
+from tinderframe.llm import decontaminate, licences, mixing, ngrams, simhash, spans, tokencount, topk, toxicity, urls
 from tinderframe.llm.common import share
 
 QUERIES, ORACLES = {}, {}
@@ -164,6 +164,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+@query("op9_licence_scan")
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Three kinds of source: steady, fading out, and coming in towards the end.
 CURRICULUM = [[(0.0, 1.0), (1.0, 1.0)], [(0.0, 2.0), (1.0, 0.0)], [(0.0, 0.0), (0.5, 1.0), (1.0, 2.0)]]
 _MIX_SQL = r"""
