@@ -249,6 +249,20 @@ def test_scaling_uses_population_deviation_and_keeps_constants(spark):
     assert [tuple(r) for r in back] == [(1.0, 5.0), (3.0, 5.0)]
 
 
+def test_rows_with_a_missing_feature_are_scored_as_null(spark):
+    rows = [(1.0, 2.0, 3.0), (2.0, 4.0, 5.0), (3.0, 7.0, 7.0), (4.0, None, 9.0), (float("nan"), 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "x double, z double, fm double")
+    got = L.predict(L.fit(L.linear_model(), df, ["x", "z"]), df).collect()
+    assert len(got) == 5 and sum(r["preds"] is None for r in got) == 2
+
+
+def test_grid_scores_all_configurations(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i + i % 3) for i in range(30)], "a double, b double, fm double")
+    metrics, best = TU.run_grid([{"f": ["b"]}, {"f": ["a"]}, {"f": ["a", "b"]}], df, df, lambda c, rows: L.fit(L.linear_model(), rows, c["f"]))
+    assert sorted(r["config_id"] for r in metrics.collect()) == [0, 1, 2]
+    assert best.first()["config_id"] == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 999, 60_000])
 def test_exact_median(spark, n):
     rng = random.Random(n)

@@ -56,17 +56,35 @@ def test_interpolation_equals_numpy(spark, seed):
     np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-12)
 
 
-@pytest.mark.parametrize("most", [1_000_000, 2])
-def test_interpolation_at_any_stamp_equals_numpy(spark, monkeypatch, most):
-    monkeypatch.setattr(S, "_SEGMENT_ROWS", most)  # few rows allowed: short segments
+@pytest.mark.parametrize("seconds", [3600, 514, 327, 10, 0.004])
+def test_interpolation_at_any_stamp_equals_numpy(spark, seconds):
     rng = random.Random(5)
     rows = sorted(("a", T0 + timedelta(seconds=rng.randrange(0, 4_000_000)), rng.uniform(0, 50)) for _ in range(70))
     rows = sorted(rows + [("a", T0 + timedelta(days=2, milliseconds=700 * i), float(i)) for i in range(90)])
     asked = sorted({T0 + timedelta(seconds=rng.randrange(-100_000, 4_200_000)) for _ in range(200)} | {rows[3][1]})
     targets = frame(spark, [("a", t) for t in asked], "stid string, date_time timestamp")
-    got = S.interpolate_at(frame(spark, rows), targets, ["stid"], "date_time", "fm").orderBy("date_time").collect()
-    want = np.interp([t.timestamp() for t in asked], [r[1].timestamp() for r in rows], [r[2] for r in rows])
-    np.testing.assert_allclose([g["fm"] for g in got], want, rtol=1e-9)
+    burst = [("a", T0 + timedelta(days=3, microseconds=900 * i), float(i % 7)) for i in range(300)]
+    rows = sorted({r[1]: r for r in rows + burst}.values())
+    asked = sorted({*asked, *(T0 + timedelta(days=3, microseconds=700 * i) for i in range(100))})
+    targets = frame(spark, [("a", t) for t in asked], "stid string, date_time timestamp")
+    found = S.interpolate_at(frame(spark, rows), targets, ["stid"], "date_time", "fm", segment=int(seconds * 1_000_000))
+    got = found.orderBy("date_time").collect()
+    assert [g["date_time"] for g in got] == asked
+    want = np.interp([(t - T0).total_seconds() for t in asked], [(r[1] - T0).total_seconds() for r in rows], [r[2] for r in rows])
+    np.testing.assert_allclose([g["fm"] for g in got], want, rtol=1e-6)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7, 16])
+def test_equal_stamps_give_the_smallest_reading(spark, partitions):
+    """Two hundred readings at one stamp, whatever the partitions."""
+    rows = [("a", T0, 1.0)] + [("a", T0 + timedelta(minutes=90), float(v)) for v in range(9, 209)]
+    df = frame(spark, rows).repartition(partitions)
+    got = S.interpolate_hourly(df.withColumn("c", F.col("fm") + 1), ["stid"], "date_time", ["fm"], T0, T0 + timedelta(hours=3), static=["c"])
+    values = [(round(r["fm"], 9), r["c"]) for r in got.orderBy("date_time").collect()]
+    assert values == [(1.0, 2.0), (round(1 + 8 * 2 / 3, 9), 2.0), (9.0, 2.0), (9.0, 2.0)]
+    targets = frame(spark, [("a", T0 + timedelta(minutes=m)) for m in (45, 90, 95)], "stid string, date_time timestamp")
+    at = S.interpolate_at(df, targets, ["stid"], "date_time", "fm").orderBy("date_time").collect()
+    assert [r["fm"] for r in at] == [5.0, 9.0, 9.0]
 
 
 def test_first_difference_zeroes_only_the_first_row(spark):

@@ -105,7 +105,7 @@ def err_metrics(t: Inputs):
 )
 def best_config(t: Inputs):
     """Replication numbers stand for configurations."""
-    return E.best_config(E.named_metrics(t.pred, ["rep"]), "rep")
+    return E.best_config(E.mean_squared_error(t.pred, ["rep"]), "rep")
 
 
 @query(

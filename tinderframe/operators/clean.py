@@ -210,9 +210,9 @@ def periods_with_several_stations(df: DataFrame, period: Sequence[str], station:
     return df.join(shared, list(period), "left_semi")
 
 
-def merge_intervals(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Union of overlapping closed intervals per key. The list is hand-kept and small per key."""
-    w = W.partitionBy(key).orderBy(start, end)
+def merge_intervals(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Union of overlapping closed intervals per key."""
+    w = W.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("_reach") >= F.col(start), 0).otherwise(1)).over(
         w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -220,7 +220,7 @@ def merge_intervals(intervals: DataFrame, key: str, start: str, end: str) -> Dat
     return (
         intervals.withColumn("_reach", reach)
         .withColumn("_island", island)
-        .groupBy(key, "_island")
+        .groupBy(*keys, "_island")
         .agg(F.min(start).alias(start), F.max(end).alias(end))
         .drop("_island")
     )
@@ -237,11 +237,11 @@ def drop_invalid_intervals(
 ) -> DataFrame:
     """Drop rows inside any closed ``[start, end]`` marked ``valid = 0``.
 
-    Overlaps are merged first, then each interval is cut at day borders, so a row meets at
-    most the pieces of its own (station, day): no comparison of all rows of a busy station
-    with all its intervals, and the day spreads such a station over many tasks.
+    Intervals are cut at day borders and merged inside each (station, day), so a row meets
+    at most the pieces of its own day: no comparison of all rows of a busy station with all
+    its intervals, no task that holds a station's intervals, and the day spreads such a
+    station over many tasks.
     """
-    bad = merge_intervals(intervals.where(F.col(valid) == 0).select(key, start, end), key, start, end)
     span = df.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi")).alias("s")).scalar()
 
     def day_of(t: Column) -> Column:
@@ -249,11 +249,13 @@ def drop_invalid_intervals(
 
     first = F.greatest(F.col(start), span["lo"])
     last = F.least(F.col(end), span["hi"])
+    border = lambda day: F.timestamp_seconds(day * DAY_SECONDS)
     pieces = (
-        bad.where(span["lo"].isNotNull() & (first <= last))
-        .select(key, start, end, F.explode(F.sequence(day_of(first), day_of(last))).alias("_day"))
-        .withColumnsRenamed({start: "_start", end: "_end"})
+        intervals.where((F.col(valid) == 0) & span["lo"].isNotNull() & (first <= last))
+        .select(key, first.alias("_start"), last.alias("_end"), F.explode(F.sequence(day_of(first), day_of(last))).alias("_day"))
+        .withColumns({"_start": F.greatest(F.col("_start"), border(F.col("_day"))), "_end": F.least(F.col("_end"), border(F.col("_day") + 1))})
     )
+    pieces = merge_intervals(pieces, [key, "_day"], "_start", "_end")
     rows = df.withColumn("_day", day_of(F.col(ts)))
     inside = (
         (rows[key] == pieces[key])

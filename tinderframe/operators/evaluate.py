@@ -75,6 +75,11 @@ def named_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, "mean", "median", "mae", "mse", "count")
 
 
+def mean_squared_error(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """MSE by group, where nothing else is asked for: one aggregate."""
+    return residuals(df).groupBy(*keys).agg(F.avg("squared_error").alias("mse"))
+
+
 def best_config(metrics: DataFrame, config: str, metric: str = "mse") -> DataFrame:
     """The configuration with the smallest metric; ties go to the smallest id."""
     return metrics.agg(F.min(F.struct(metric, config)).alias("_b")).select(f"_b.{config}", f"_b.{metric}")
@@ -246,7 +251,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 40) -> DataFrame:
 
 def format_mean_std(mean: Column, std: Column, digits: int = 2) -> Column:
     """``"m +/- s"`` with halves rounded to even."""
-    both = [F.format_number(F.bround(c, digits), digits) for c in (mean, std)]
+    both = [F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits)) for c in (mean, std)]
     return F.concat(both[0], F.lit(" ± "), both[1])
 
 

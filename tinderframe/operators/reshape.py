@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tinderframe.session import cut_lineage
+
+_BROADCAST_GROUPS = 100_000  # rows of a few numbers each
+
 
 def first_source_wins(df: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
     """One row per key, taken from the earliest source.
@@ -163,8 +167,9 @@ def exact_median(
     A mergeable sketch brackets the middle ranks: the bracket is five times as wide as the
     sketch's error, so it cannot miss them. Values below it are only counted; the 0.1 % of
     the rows inside it are counted per distinct value and numbered in 4,096 slices of the
-    bracket, like the ranks of :func:`hash_rank`. Two passes over the data, both combined
-    on the map side; the plain ``median`` would gather a key's distinct values in one task.
+    bracket, like the ranks of :func:`hash_rank`; a rank the bracket missed is an error. Two
+    passes over the data, both combined on the map side, the brackets broadcast where their
+    stored number is at most ``_BROADCAST_GROUPS``; the plain ``median`` would gather a key's distinct values in one task.
     ``also`` names further aggregates to take along in the first pass.
     """
     keys, also = list(keys), also or {}
@@ -176,6 +181,9 @@ def exact_median(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", F.array(F.lit(0.5 - width), F.lit(0.5 + width)), accuracy).alias("_cut"),
     )
+    cut = cut_lineage(cut, "median-brackets")
+    if cut.count() <= _BROADCAST_GROUPS:
+        cut = F.broadcast(cut)
     low, high = F.get("_cut", 0), F.get("_cut", 1)
     part = F.floor((v - low) / (high - low) * slices).cast("int")
     inside = (
@@ -204,4 +212,5 @@ def exact_median(
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     middle = [F.max(F.when(r.between(first, last), v)) for r in (lower, upper)]
     taken = [F.first(name).alias(name) for name in also]  # one value per key
-    return ranked.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias(out), *taken)
+    missed = F.raise_error(F.lit("the sketch missed a middle rank")).cast("double")
+    return ranked.groupBy(*keys).agg(F.coalesce((middle[0] + middle[1]) / 2, missed).alias(out), *taken)

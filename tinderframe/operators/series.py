@@ -27,22 +27,26 @@ from tinderframe.functions.times import (
 
 
 def hourly_knots(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
-    """First and last non-null reading of every column in each occupied hour.
+    """First and last non-null reading of every column in each occupied hour; of readings at
+    one stamp the smallest counts.
 
     Readings between the two can never bracket a whole hour, so nothing else is needed.
     """
     aggs = []
     for c in cols:
         known = F.col(c).isNotNull() & ~F.isnan(c)
-        stamp, value = F.when(known, F.unix_micros(F.col(ts))), F.when(known, F.col(c))
+        stamp, value = F.unix_micros(F.col(ts)).alias("t"), F.col(c).cast("double")
         aggs += [
-            F.min(stamp).alias(f"_t0_{c}"),
-            F.min_by(value, stamp).alias(f"_v0_{c}"),
-            F.max(stamp).alias(f"_t1_{c}"),
-            F.max_by(value, stamp).alias(f"_v1_{c}"),
+            F.min(F.when(known, F.struct(stamp, value.alias("v")))).alias(f"_first_{c}"),
+            F.max(F.when(known, F.struct(stamp, (-value).alias("v")))).alias(f"_last_{c}"),
         ]
     any_known = F.coalesce(*[F.when(~F.isnan(c), F.col(c)) for c in cols]).isNotNull()
-    return df.where(any_known).groupBy(*keys, hour_number(F.col(ts)).alias("_hour")).agg(*aggs)
+    found = df.where(any_known).groupBy(*keys, hour_number(F.col(ts)).alias("_hour")).agg(*aggs)
+    ends = {}
+    for c in cols:
+        ends |= {f"_t0_{c}": F.col(f"_first_{c}.t"), f"_v0_{c}": F.col(f"_first_{c}.v")}
+        ends |= {f"_t1_{c}": F.col(f"_last_{c}.t"), f"_v1_{c}": -F.col(f"_last_{c}.v")}
+    return found.select(*keys, "_hour", *[v.alias(n) for n, v in ends.items()])
 
 
 def _between(t: Column, t0: Column, v0: Column, t1: Column, v1: Column) -> Column:
@@ -64,7 +68,8 @@ def interpolate_hourly(
 
     Nulls are skipped column by column; before the first and after the last reading the
     nearest value is held. A key without any reading gives no rows. ``static`` columns are
-    constants of the key and are repeated (the first reading's value).
+    constants of the key and are repeated (the first reading's value, at equal stamps the
+    smallest). Of several readings at one stamp the smallest counts.
 
     An occupied hour emits the marks from the previous occupied hour up to its own start,
     the last one also the tail, so the grid needs no join. Two exchanges in all: the
@@ -115,19 +120,12 @@ def interpolate_hourly(
         out[c] = F.when(own, inside).otherwise(F.col(f"_ve_{c}"))
     grid = marks.select(*keys, hour_start(F.col("_mark")).alias(ts), *[v.alias(c) for c, v in out.items()])
     if static:
-        constants = df.groupBy(*keys).agg(*[F.min_by(s, ts).alias(s) for s in static])
+        constants = df.groupBy(*keys).agg(*[F.min(F.when(F.col(s).isNotNull(), F.struct(ts, s)))[s].alias(s) for s in static])
         grid = grid.join(constants, keys).select(*[c for c in df.columns if c in grid.columns or c in static])
     return grid
 
 
-_SEGMENT_ROWS = 1_000_000  # rows one task may sort for one segment of one key
-
-
-def _segment_seconds(rows: DataFrame, keys: Sequence[str], t: Column) -> int:
-    """An hour, or less if some key has more than ``_SEGMENT_ROWS`` rows in an hour."""
-    per_hour = rows.groupBy(*keys, hour_number(t).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
-    fullest = per_hour.agg(F.max("n")).first()[0] or 0
-    return max(1, HOUR_SECONDS // max(1, -(-fullest // _SEGMENT_ROWS)))
+SEGMENT_MICROS = 10_000_000  # ten seconds of one key's readings are sorted by one task
 
 
 def _nearest_outside(edges: DataFrame, within: Sequence[str], order: str) -> DataFrame:
@@ -140,13 +138,17 @@ def _nearest_outside(edges: DataFrame, within: Sequence[str], order: str) -> Dat
     )
 
 
-def bracket(readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Last reading at or before, and first reading at or after, each target stamp.
-
-    Readings and targets share one sort per (key, segment of time). What lies outside a
-    segment is carried in from tables with one row per (key, segment) and per (key, day).
-    Segments last an hour, or less where a key is so busy that an hour of it would be too
-    much for one task, so a key that holds most of the rows spreads over many tasks.
+def bracket(
+    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment: int = SEGMENT_MICROS
+) -> DataFrame:
+    """Last reading at or before, and first reading at or after, each target stamp; of
+    readings at one stamp the smallest counts.
+
+    Readings and targets share one sort per (key, day, segment of time). What lies outside a
+    segment is carried in from tables with one row per (key, day, segment) and per (key,
+    day), bounded by the calendar. ``segment`` is a length in microseconds; any length gives
+    the same rows, since segments end with their day. Keys that report more in ten seconds
+    than a task can sort take a shorter one.
     """
     keys = list(keys)
     known = readings.where(F.col(value).isNotNull()).select(
@@ -155,34 +157,30 @@ def bracket(readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: st
     asked = targets.select(
         *keys, F.col(ts).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(False).alias("_knot")
     )
-    rows = known.unionByName(asked)
-    length = _segment_seconds(rows, keys, F.col("_t"))
-    second = F.unix_seconds("_t")
-    rows = rows.withColumns({"_day": F.floor(second / DAY_SECONDS), "_seg": F.floor(second / length)})
+    micros = F.unix_micros(F.col("_t").cast("timestamp"))
+    day = DAY_SECONDS * 1_000_000
+    rows = known.unionByName(asked).withColumns({"_day": F.floor(micros / day), "_seg": F.floor(F.pmod(micros, F.lit(day)) / segment)})
     knot_t, knot_v = F.when(F.col("_knot"), F.col("_t")), F.col("_v")
-    segments = rows.groupBy(*keys, "_day", "_seg").agg(
-        F.min(knot_t).alias("_ft"),
-        F.min_by("_v", knot_t).alias("_fv"),
-        F.max(knot_t).alias("_lt"),
-        F.max_by("_v", knot_t).alias("_lv"),
-    )
-    days = segments.groupBy(*keys, "_day").agg(
-        F.min("_ft").alias("_ft"),
-        F.min_by("_fv", "_ft").alias("_fv"),
-        F.max("_lt").alias("_lt"),
-        F.max_by("_lv", "_lt").alias("_lv"),
-    )
+    ends = {
+        "_f": F.min(F.when(F.col("_knot"), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))),
+        "_l": F.max(F.when(F.col("_knot"), F.struct(F.col("_t").alias("t"), (-F.col("_v")).alias("v")))),
+    }
+    segments = rows.groupBy(*keys, "_day", "_seg").agg(*[a.alias(n) for n, a in ends.items()])
+    days = segments.groupBy(*keys, "_day").agg(F.min("_f").alias("_f"), F.max("_l").alias("_l"))
+    parts = {"_ft": F.col("_f.t"), "_fv": F.col("_f.v"), "_lt": F.col("_l.t"), "_lv": -F.col("_l.v")}
+    segments, days = segments.withColumns(parts).drop("_f", "_l"), days.withColumns(parts).drop("_f", "_l")
     outside = ["_p_lt", "_p_lv", "_n_ft", "_n_fv"]
     of_day = _nearest_outside(days, keys, "_day").select(*keys, "_day", *[F.col(c).alias(f"_d{c}") for c in outside])
     carry = (
         _nearest_outside(segments, [*keys, "_day"], "_seg")
         .join(of_day, [*keys, "_day"])
-        .select(*keys, "_seg", *[F.coalesce(c, f"_d{c}").alias(c) for c in outside])
+        .select(*keys, "_day", "_seg", *[F.coalesce(c, f"_d{c}").alias(c) for c in outside])
     )
-    inner = W.partitionBy(*keys, "_seg")
-    # readings come first among equal stamps in both directions: "at or before", "at or after"
-    up = inner.orderBy("_t", F.desc("_knot")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    down = inner.orderBy(F.desc("_t"), F.desc("_knot")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy(*keys, "_day", "_seg")
+    # readings come first among equal stamps in both directions: "at or before", "at or after";
+    # the smallest of them is the last one seen
+    up = inner.orderBy("_t", F.desc("_knot"), F.desc("_v")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = inner.orderBy(F.desc("_t"), F.desc("_knot"), F.desc("_v")).rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = rows.withColumns(
         {
             "_bt": F.last(knot_t, ignorenulls=True).over(up),
@@ -191,7 +189,7 @@ def bracket(readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: st
             "_av": F.last(knot_v, ignorenulls=True).over(down),
         }
     ).where(~F.col("_knot"))
-    return seen.join(carry, [*keys, "_seg"]).select(
+    return seen.join(carry, [*keys, "_day", "_seg"]).select(
         *keys,
         F.col("_t").alias(ts),
         F.coalesce("_bt", "_p_lt").alias("t_before"),
@@ -221,10 +219,10 @@ def fill_missing(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str
 
 
 def interpolate_at(
-    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str
+    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment: int = SEGMENT_MICROS
 ) -> DataFrame:
     """Linear interpolation at arbitrary target stamps, held constant beyond both ends."""
-    b = bracket(readings, targets, keys, ts, value)
+    b = bracket(readings, targets, keys, ts, value, segment)
     t, t0, t1 = (F.unix_micros(F.col(c)) for c in (ts, "t_before", "t_after"))
     v = _between(t, t0, F.col("v_before"), t1, F.col("v_after"))
     return b.select(*keys, ts, v.alias(value)).where(F.col(value).isNotNull())

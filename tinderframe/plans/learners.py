@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,9 @@ def feature_matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
 def fit(estimator, train: DataFrame, features: Sequence[str], target: str = "fm", weight: str | None = None):
     """Fit on the selected features, optionally weighting rows; returns a pipeline model.
 
-    Trees pass over their rows many times, so these are stored once beforehand.
+    Rows with a missing feature cannot be fitted and are left out; for scoring they are kept
+    (see :func:`predict`). Trees pass over their rows many times, so these are stored once
+    beforehand.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     estimator = estimator.setLabelCol(target)
@@ -61,11 +65,13 @@ def fit(estimator, train: DataFrame, features: Sequence[str], target: str = "fm"
     rows = assembler.transform(train).select("features", target, *([weight] if weight else []))
     if isinstance(estimator, (GBTRegressor, RandomForestRegressor)):
         rows = cut_lineage(rows)
-    return PipelineModel([assembler, estimator.fit(rows)])
+    return PipelineModel([assembler.copy({assembler.handleInvalid: "keep"}), estimator.fit(rows)])
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("features")
+    """``df`` with ``preds``: every row comes out, those with a missing feature with null."""
+    known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in model.stages[0].getInputCols()])
+    return model.transform(df).drop("features").withColumn("preds", F.when(known, F.col("preds")))
 
 
 def fit_line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tinderframe.operators.evaluate import best_config, named_metrics
+from tinderframe.operators.evaluate import best_config, mean_squared_error, named_metrics
+from tinderframe.plans.learners import predict
+from tinderframe.session import cut_lineage
 
 # The published search space.
 RECURRENT_LAYERS = (["lstm"], ["lstm", "lstm"], ["lstm", "lstm", "lstm"])
@@ -95,11 +97,14 @@ def run_grid(
     """Fit and test each configuration as distributed jobs; returns (metrics, best).
 
     The list of configurations is short by nature (each one is a whole training run); data
-    stays in Spark throughout.
+    stays in Spark throughout. Train and test rows are stored once; all models score the
+    test rows in one pass, a column per configuration, and both results read what it stored.
     """
-    outputs = None
-    for number, settings in enumerate(configs):
-        scored = fit_one(settings, train).transform(test).select(F.lit(number).alias(config), "fm", "preds")
-        outputs = scored if outputs is None else outputs.unionByName(scored)
-    metrics = named_metrics(outputs, [config])
-    return metrics, best_config(metrics, config)
+    train, test = cut_lineage(train, "train"), cut_lineage(test, "test")
+    scored = test.select("fm", *[c for c in test.columns if c not in ("fm", "preds")])
+    names = [f"_preds{number}" for number in range(len(configs))]
+    for name, settings in zip(names, configs):
+        scored = predict(fit_one(settings, train), scored).withColumnRenamed("preds", name)
+    pairs = F.array(*[F.struct(F.lit(i).alias(config), F.col(n).alias("preds")) for i, n in enumerate(names)])
+    outputs = cut_lineage(scored.select("fm", F.inline(pairs)).select(config, "fm", "preds"), "scores")
+    return named_metrics(outputs, [config]), best_config(mean_squared_error(outputs, [config]), config)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tinderframe.functions.times import as_timestamp
@@ -63,16 +62,23 @@ def write_observations(df: DataFrame, path: str, ts: str = "date_time") -> None:
 
 
 def scan_observations(
-    spark: SparkSession, path: str, start, end, stations: DataFrame | None = None, margin_hours: int = 1
+    spark: SparkSession,
+    path: str,
+    start,
+    end,
+    stations: DataFrame | None = None,
+    margin_hours: int = 1,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """Observations of ``[start, end]`` plus a margin, of the given stations.
 
-    Hours outside are pruned by partition; unreadable files are skipped; column names come
-    out in lower case; the station filter is a semi-join right above the scan.
+    Hours outside are pruned by partition; column names come out in lower case; the station
+    filter is a semi-join right above the scan. An unreadable file is an error, unless
+    ``skip_unreadable`` leaves such files out; :func:`unreadable_files` lists them.
     """
     use_utc(spark)
     lo, hi = (_to_datetime(t) + timedelta(hours=s * margin_hours) for t, s in ((start, -1), (end, 1)))
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    df = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
     code = _hour_code(F.col("year"), F.col("doy"), F.col("hour"))
     bounds = [int(t.strftime("%Y%j%H")) for t in (lo, hi)]
     df = df.where(code.between(*bounds)).toDF(*[c.lower() for c in df.columns])
@@ -82,6 +88,18 @@ def scan_observations(
     return df
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a store that a scan with ``skip_unreadable`` leaves out, as (file).
+
+    A Parquet file begins and ends with its mark; files without are not whole. The contents
+    are looked at by the executors, file by file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    mark = F.lit(b"PAR1")
+    whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+    return files.where(~whole).select(F.col("path").alias("file"))
+
+
 def _to_datetime(t) -> datetime:
     return t if isinstance(t, datetime) else datetime.fromisoformat(str(t))
 
@@ -131,12 +149,13 @@ def write_days(df: DataFrame, path: str, ts: str = "date_time") -> None:
 
 
 def stored_days(spark: SparkSession, path: str) -> DataFrame | None:
-    """Days a store has, from its partition folders; None if there is no store yet."""
-    try:
-        store = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    return store.select(F.make_date("year", "month", "day").alias("day")).distinct()
+    """Days a store has, listed from its partition folders (no file is opened); None if there
+    is no store yet."""
+    jvm = spark._jvm
+    folders = jvm.org.apache.hadoop.fs.Path(f"{path}/year=*/month=*/day=*")
+    found = folders.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folders) or []
+    days = [tuple(int(part.split("=")[1]) for part in f.getPath().toString().split("/")[-3:]) for f in found]
+    return spark.createDataFrame([(date(*d),) for d in days], "day date") if days else None
 
 
 def write_missing_days(df: DataFrame, path: str, ts: str = "date_time") -> None:
