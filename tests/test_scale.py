@@ -24,7 +24,7 @@ def plan_of(df) -> list[str]:
         "interp_hourly", "interp_multi", "sensor_series", "source_dedup", "coverage_any", "missing_days", "pivot_vars",
         "occupied_hours", "err_overall", "err_station", "err_all_grains", "mse_rollup", "fmc_bins", "histogram",
         "ensemble_band", "lead_curve", "rep_coverage", "rep_median", "time_alignment", "stations_by_size", "atm_merge",
-        "climatology", "linreg_1d", "predictor_summary",
+        "climatology", "linreg_1d", "predictor_summary", "best_config", "err_metrics",
     ],
 )
 def test_only_aggregated_rows_are_shuffled(spark, name):

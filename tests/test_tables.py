@@ -30,15 +30,6 @@ def test_observation_store(spark, tmp_path):
     assert back.count() == 24 and back.where("FM = 99").count() == 4
 
 
-def test_unreadable_file_is_skipped(spark, tmp_path):
-    path = tmp_path / "obs"
-    TB.write_observations(obs(spark), str(path))
-    bad = path / "year=2024" / "doy=31" / "hour=20" / "part-broken.parquet"
-    bad.write_bytes(b"not parquet")
-    got = TB.scan_observations(spark, str(path), "2024-01-31 20:00:00", "2024-02-01 20:00:00", margin_hours=0)
-    assert got.count() == 24
-
-
 def test_daily_store_adds_only_missing_days(spark, tmp_path):
     path = str(tmp_path / "days")
     TB.write_missing_days(obs(spark, 4), path)
@@ -210,3 +201,53 @@ def test_layers_merge_on_all_axes(spark):
     got = {(r["x"], r["a"], r["b"]) for r in SP.merge_layers([a, b]).collect()}
     assert got == {(0, 1.0, 2.0), (1, None, 3.0)}
     assert SP.layer_mismatch(a, b, ["time", "y", "x"]).count() == 1
+
+
+def test_unreadable_files_are_an_error_or_listed(spark, tmp_path):
+    rows = [("a", datetime(2024, 1, 1, h), float(h)) for h in range(3)]
+    path = str(tmp_path / "store")
+    TB.write_observations(spark.createDataFrame(rows, "stid string, date_time timestamp, fm double"), path)
+    (tmp_path / "store" / "year=2024" / "doy=1" / "hour=1" / "bad.parquet").write_bytes(b"PAR1 cut off")
+    span = ("2024-01-01 00:00:00", "2024-01-01 02:00:00")
+    with pytest.raises(Exception):
+        TB.scan_observations(spark, path, *span).collect()
+    assert TB.scan_observations(spark, path, *span, skip_unreadable=True).count() == 3
+    assert [r["file"].rsplit("/", 1)[1] for r in TB.unreadable_files(spark, path).collect()] == ["bad.parquet"]
+
+
+def test_stored_days_come_from_folders(spark, tmp_path):
+    path = str(tmp_path / "days")
+    assert TB.stored_days(spark, path) is None
+    rows = [("a", datetime(2024, 1, d), 1.0) for d in (1, 5)]
+    TB.write_days(spark.createDataFrame(rows, "stid string, date_time timestamp, fm double"), path)
+    days = TB.stored_days(spark, path)
+    assert sorted(str(r["day"]) for r in days.collect()) == ["2024-01-01", "2024-01-05"]
+    assert "Scan parquet" not in days._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stage_tables_are_stored_and_dropped(spark):
+    from tinderframe.session import cut_lineage, drop_stages
+
+    kept = cut_lineage(spark.range(5), "probe")
+    assert kept.count() == 5 and "Scan parquet" in kept._jdf.queryExecution().executedPlan().toString()
+    path = kept.inputFiles()[0]
+    drop_stages(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from tinderframe.session import ensure_checkpoint_dir
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tinderframe.catalog.inputs import END, START, Inputs, query, r
-from tinderframe.functions import physics as P
+from tinderframe.functions import physics as P, times as TM
 from tinderframe.operators import evaluate as E, scale as SC, series as S, split as SP
 from tinderframe.plans import build as B, climatology as CL, learners as L, moisture as M, tuning as TU
 
@@ -440,6 +440,22 @@ def lm_eval(t: Inputs):
     return _evaluated(L.fit(L.linear_model(), train, ["Ed"]), test)
 
 
+@query(
+    "null_scoring",
+    "hourly weather",
+    f"""with {_FORCED}, tr as (select * from forced where date_time < timestamp '{CUT}'),
+    te as (select *, case when hour(date_time) % 7 > 0 then ed end as x from forced where date_time >= timestamp '{CUT}'),
+    b as (select regr_slope(fm, ed) as s, regr_intercept(fm, ed) as i from tr)
+    select stid, count(*) as n, count(x) as scored, {r('avg(i + s * x)')} as preds from te, b group by stid""",
+)
+def null_scoring(t: Inputs):
+    """Rows whose predictor is missing are counted and have no prediction."""
+    train, test = _train_test(t)
+    test = test.withColumn("Ed", F.when(F.hour(T) % 7 > 0, F.col("Ed")))
+    scored = L.predict(L.fit(L.linear_model(), train, ["Ed"]), test)
+    return scored.groupBy("stid").agg(F.count(F.lit(1)).alias("n"), F.count("preds").alias("scored"), F.avg("preds").alias("preds"))
+
+
 @query(
     "lm_weighted",
     "hourly weather",
@@ -618,3 +634,35 @@ def grid_search(t: Inputs):
     configs = [{"features": [f]} for f in ("Ed", "Ew", "rain")]
     metrics, _ = TU.run_grid(configs, train, test, lambda c, rows: L.fit(L.linear_model(), rows, c["features"]))
     return metrics
+
+
+@query(
+    "grid_best",
+    "hourly weather",
+    f"""with {_FORCED}, tr as (select *, cast(hour(date_time) as double) as hod from forced where date_time < timestamp '{CUT}'),
+    te as (select *, cast(hour(date_time) as double) as hod from forced where date_time >= timestamp '{CUT}'),
+    b as (select regr_slope(fm, ed) as s0, regr_intercept(fm, ed) as i0, regr_slope(fm, ew) as s1, regr_intercept(fm, ew) as i1,
+      regr_slope(fm, rain) as s2, regr_intercept(fm, rain) as i2 from tr),
+    e as (select 0 as config_id, fm - (i0 + s0 * ed) as e from te, b union all select 1, fm - (i1 + s1 * ew) from te, b union all select 2, fm - (i2 + s2 * rain) from te, b)
+    select config_id, {r('mse')} as mse from (select config_id, avg(e * e) as mse from e group by 1) order by mse, config_id limit 1""",
+)
+def grid_best(t: Inputs):
+    """The configuration of ``grid_search`` with the smallest error (one row is the feature)."""
+    train, test = _train_test(t)
+    configs = [{"features": [f]} for f in ("Ed", "Ew", "rain")]
+    return TU.run_grid(configs, train, test, lambda c, rows: L.fit(L.linear_model(), rows, c["features"]))[1]
+
+
+@query(
+    "climatology_calendar",
+    "hist",
+    """with a as (select distinct date_time as t from hist),
+    s as (select distinct t, (t - interval 3 year) + interval 1 year * i + interval 1 day * d as s
+      from a, (select unnest(range(4)) as i), (select unnest(range(-5, 6)) as d))
+    select epoch_us(t) as date_time, count(*) as n, epoch_us(min(s)) as first, epoch_us(max(s)) as last from s where s < t group by t""",
+)
+def climatology_calendar(t: Inputs):
+    """Earlier stamps that feed the climatology of every date in the archive."""
+    dates = t.hist.select(F.col(T).cast("timestamp").alias(T)).distinct()
+    stamps = dates.select(T, F.explode(TM.climatology_times(F.col(T), 3, 5)).alias("s")).distinct()
+    return stamps.groupBy(T).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("first"), F.max("s").alias("last"))

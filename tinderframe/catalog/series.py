@@ -80,6 +80,51 @@ def asof_bracket(t: Inputs):
     return S.bracket(t.obs, asked, K, T, "fm")
 
 
+@query(
+    "asof_ties",
+    "obs",
+    f"""
+    with asked as (select distinct o_custkey % 16 as stid,
+        timestamp '{START}' + interval 1 minute * (o_orderkey * 7919 % 43200) as date_time from orders),
+    knots as (select stid, date_trunc('hour', date_time) as date_time, min(fm) as fm from obs group by 1, 2),
+    lo as (select a.stid, a.date_time, k.fm as v_before
+           from asked a asof left join knots k on a.stid = k.stid and a.date_time >= k.date_time),
+    hi as (select a.stid, a.date_time, k.fm as v_after
+           from asked a asof left join knots k on a.stid = k.stid and a.date_time <= k.date_time)
+    select lo.stid, epoch_us(lo.date_time) as date_time, {r('v_before')} as v_before, {r('v_after')} as v_after
+    from lo join hi on lo.stid = hi.stid and lo.date_time = hi.date_time
+    """,
+)
+def asof_ties(t: Inputs):
+    """Stamps cut to the hour, so that several readings share each; the smallest counts."""
+    minute = (F.col("o_orderkey") * 7919 % 43200 * 60).cast("long")
+    start = F.unix_seconds(F.lit(START).cast("timestamp"))
+    asked = (
+        t.table("orders")
+        .select((F.col("o_custkey") % 16).alias("stid"), F.timestamp_seconds(start + minute).alias("date_time"))
+        .distinct()
+    )
+    cut = t.obs.withColumn(T, F.date_trunc("hour", T))
+    return S.bracket(cut, asked, K, T, "fm").select("stid", T, "v_before", "v_after")
+
+
+@query(
+    "interp_ties",
+    "obs",
+    f"""
+    with k as (select stid, date_trunc('hour', date_time) as date_time, min(fm) as fm from obs group by 1, 2),
+    h as (select stid, h from (select distinct stid from k), generate_series(timestamp '{START}', timestamp '{END}', interval 1 hour) g(h)),
+    b as (select h.stid, h.h, k.date_time as t0, k.fm as v0 from h asof left join k on h.stid = k.stid and h.h >= k.date_time),
+    a as (select h.stid, h.h, k.date_time as t1, k.fm as v1 from h asof left join k on h.stid = k.stid and h.h <= k.date_time)
+    select b.stid, epoch_us(b.h) as date_time, {r("case when t0 is null then v1 when t1 is null or t0 = t1 then v0 else v0 + (v1 - v0) / (epoch_us(t1) - epoch_us(t0)) * (epoch_us(b.h) - epoch_us(t0)) end")} as fm
+    from b join a on a.stid = b.stid and a.h = b.h
+    """,
+)
+def interp_ties(t: Inputs):
+    """Hourly series of readings that share their stamps."""
+    return S.interpolate_hourly(t.obs.withColumn(T, F.date_trunc("hour", T)), K, T, ["fm"], START, END)
+
+
 @query(
     "hourly_rain",
     "hourly",

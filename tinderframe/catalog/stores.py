@@ -33,6 +33,38 @@ def daily_store(t: Inputs):
     return got.select("stid", T, "rh", "temp")
 
 
+@query(
+    "observation_store",
+    "obs",
+    f"""select stid, epoch_us(date_time) as date_time, {r('fm')} as fm from obs
+    where date_time between timestamp '2024-01-05 02:00' and timestamp '2024-01-19 22:00' and stid in (select s_suppkey from supplier)""",
+)
+def observation_store(t: Inputs):
+    """Readings stored by hour, and a range of them (one hour of margin) scanned for known stations."""
+    path = stage_path(t.spark, "observations")
+    TB.write_observations(t.obs, path)
+    got = TB.scan_observations(t.spark, path, "2024-01-05 03:00:00", "2024-01-19 21:00:00", t.stations)
+    return got.select("stid", T, "fm")
+
+
+@query(
+    "numbered_outputs",
+    "pred",
+    """select m as "Model", rep, count(*) as n, sum(stid)::bigint as stids from pred,
+      (select unnest(['clim', 'ode']) as m) group by 1, 2""",
+)
+def numbered_outputs(t: Inputs):
+    """Files ``<model>_<n>.parquet`` of each replication, read back with model and number."""
+    paths = {}
+    for model in ("clim", "ode"):
+        folder = stage_path(t.spark, model)
+        for rep in range(1, 8):  # replications of the prediction table
+            t.pred.where(F.col("rep") == rep).select("stid", "fm", "preds").write.parquet(f"{folder}/{model}_{rep}.parquet")
+        paths[model] = f"{folder}/*.parquet"
+    got = TB.read_numbered_outputs(t.spark, paths)
+    return got.groupBy("Model", "rep").agg(F.count(F.lit(1)).alias("n"), F.sum("stid").alias("stids"))
+
+
 _RMSE = 'select "Model", rep, stid, sqrt(avg((fm - preds) * (fm - preds))) as rmse from pred group by 1, 2, 3'
 
 
