@@ -151,10 +151,10 @@ def test_language_model_equals_a_plain_one(spark, monkeypatch, hot):
 def test_language_model_on_odd_rows(odd, empty):
     model = N.train(empty)
     got = N.score_texts(odd, model).collect()
-    assert len(got) == len(ODD) and all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 for r in got)
+    assert len(got) == len(ODD) and all(abs(r["score"]) + abs(r["base_score"]) < 1e-6 and r["n_known"] == 0 for r in got)
     model = N.train(odd)
     got = N.score_texts(odd, model)
-    assert got.columns[: len(odd.columns) - 1] == [c for c in odd.columns if c != "text"]
+    assert got.columns[:-4] == [c for c in odd.columns if c not in ("text", "score")]
     assert all(math.isfinite(r["base_score"]) for r in got.collect())
     assert N.score_texts(empty, model).count() == 0
     with pytest.raises(ValueError):
@@ -239,7 +239,7 @@ def test_spans_equal_a_plain_version(spark):
 def test_spans_of_odd_rows(odd, empty):
     got = SP.dedup_spans(odd).collect()
     assert len(got) == len(ODD) and SP.dedup_spans(odd).columns[:-2] == odd.columns
-    assert sorted(str(r["text"]) for r in got if not r["__removed"]) == sorted(str(t[1]) for t in ODD if t[1] != LONG)
+    assert sorted(str(r["text"]) for r in got if not r["__removed"]) == sorted(str(t[1]) for t in ODD)
     assert SP.dedup_spans(empty).count() == 0
 
 
