@@ -416,7 +416,12 @@ def describe_columns(t: Inputs):
     return describe(li, ["qty", "line"])
 
 
-@query("data_fingerprint")
+@query(
+    "data_fingerprint",
+    "obs",
+    """with h as (select ('0x' || substr(md5(concat_ws('|', stid::varchar, epoch_us(date_time)::varchar, floor(fm * 1e6 + 0.5)::bigint::varchar)), 1, 15))::bigint as h from obs)
+    select count(*) as n, bit_xor(h) as hash_xor, sum(h % 2147483647)::bigint as hash_sum from h""",
+)
 def data_fingerprint(t: Inputs):
-    """Order-free hash of the hourly series; the hash function is Spark's own, so no SQL."""
-    return R.fingerprint(t.hourly)
+    """Order-free hash of all readings."""
+    return R.fingerprint(t.obs.withColumn("date_time", F.col("date_time").cast("timestamp")))

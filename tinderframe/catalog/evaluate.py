@@ -108,6 +108,12 @@ def best_config(t: Inputs):
     return E.best_config(E.mean_squared_error(t.pred, ["rep"]), "rep")
 
 
+@query("evaluation_order", "pred", f"""select "Model", rep, stid, epoch_us(date_time) as date_time, {r('fm - preds')} as residual from pred""")
+def evaluation_order(t: Inputs):
+    rows = E.evaluation_order(E.residuals(t.pred))
+    return rows.select("Model", "rep", "stid", F.col("date_time").cast("timestamp").alias("date_time"), "residual")
+
+
 @query(
     "mse_rollup",
     "pred",

@@ -257,10 +257,7 @@ def physics_errors(t: Inputs):
 )
 def physics_by_rep(t: Inputs):
     """One forecast run serves the test stations of all replications."""
-    errors = B.for_replications(B.physics_forecast(forced(t), "2024-01-02 00:00:00", 14), _splits(t, 25))
-    return errors.groupBy("rep").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("residual").alias("bias"), F.avg("squared_error").alias("mse")
-    )
+    return B.replication_errors(B.physics_forecast(forced(t), "2024-01-02 00:00:00", 14), _splits(t, 25))
 
 
 @query(
@@ -602,6 +599,20 @@ def param_grid(t: Inputs):
     return TU.combine(found, {c: F.col(f"_{c}") for c in names}).select(*names)
 
 
+@query(
+    "numbered_grid",
+    "",
+    """with a as (select l_linenumber, row_number() over (order by l_linenumber) - 1 as i from (select distinct l_linenumber from lineitem)),
+    b as (select l_returnflag, row_number() over (order by l_returnflag) - 1 as j from (select distinct l_returnflag from lineitem))
+    select i * (select count(*) from b) + j as config_id, l_linenumber, l_returnflag from a cross join b""",
+)
+def numbered_grid(t: Inputs):
+    """The numbered grid over the few values that two columns hold."""
+    lines = t.table("lineitem")
+    names = ["l_linenumber", "l_returnflag"]
+    return TU.param_grid(t.spark, {c: [r[0] for r in lines.select(c).distinct().sort(c).collect()] for c in names})
+
+
 @query(
     "funnel_grid",
     "",

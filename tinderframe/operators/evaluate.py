@@ -75,6 +75,11 @@ def named_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, "mean", "median", "mae", "mse", "count")
 
 
+def evaluation_order(df: DataFrame, station: str = "stid", ts: str = "date_time") -> DataFrame:
+    """Predictions sorted by station and time, as an export lists them."""
+    return df.sort(station, ts)
+
+
 def mean_squared_error(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """MSE by group, where nothing else is asked for: one aggregate."""
     return residuals(df).groupBy(*keys).agg(F.avg("squared_error").alias("mse"))

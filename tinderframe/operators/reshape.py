@@ -112,14 +112,24 @@ def map_conflicts(first: Column, second: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Row count and an order-free hash; the same for any partitioning of the same rows."""
-    cols = [F.round(c, digits) + F.lit(0.0) if t == "double" else F.col(c) for c, t in df.dtypes]
+    """Row count and an order-free hash; the same for any partitioning of the same rows, and
+    for any engine: a row is hashed as text by MD5, doubles as whole multiples of
+    10**-digits, stamps as microseconds."""
+
+    def text(c: str, kind: str) -> Column:
+        if kind == "double":
+            plain = F.floor(F.col(c) * 10**digits + 0.5)
+        else:
+            plain = F.unix_micros(c) if kind == "timestamp" else F.col(c)
+        return F.coalesce(plain.cast("string"), F.lit("null"))
+
+    whole = F.concat_ws("|", *[text(c, t) for c, t in df.dtypes])
+    h = F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
     # a plain xor would cancel duplicates, so the sum is kept as well
-    h = F.xxhash64(*cols)
-    return df.agg(
+    return df.select(h.alias("_h")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.bit_xor(h).alias("hash_xor"),
-        F.sum(F.pmod(h, F.lit(2**31 - 1))).alias("hash_sum"),
+        F.bit_xor("_h").alias("hash_xor"),
+        F.sum(F.col("_h") % (2**31 - 1)).alias("hash_sum"),
     )
 
 

@@ -143,6 +143,25 @@ def for_replications(
     return forecasts.join(chosen, [key, period])
 
 
+def replication_errors(
+    forecasts: DataFrame, splits: DataFrame, key: str = "stid", period: str = "period", rep: str = "rep"
+) -> DataFrame:
+    """Errors by replication over what :func:`for_replications` would give it: n, bias, mse.
+
+    Forecasts are summed per station and period first, so a station that many replications
+    test costs each of them a row per period, not all its hours.
+    """
+    sums = forecasts.groupBy(key, period).agg(
+        F.count("residual").alias("n"), F.sum("residual").alias("_e"), F.sum("squared_error").alias("_s")
+    )
+    test = splits.where(F.col("split") == "test").select(rep, key)
+    by_period = sums.join(test, key).groupBy(rep, period).agg(
+        F.count(F.lit(1)).alias("_k"), *[F.sum(c).alias(c) for c in ("n", "_e", "_s")]
+    )
+    several = by_period.where(F.col("_k") > 1).groupBy(rep).agg(*[F.sum(c).alias(c) for c in ("n", "_e", "_s")])
+    return several.select(rep, "n", (F.col("_e") / F.col("n")).alias("bias"), (F.col("_s") / F.col("n")).alias("mse"))
+
+
 def grid_forecast(
     cube: DataFrame,
     terrain: DataFrame,
