@@ -7,6 +7,8 @@ from tinderframe.catalog.inputs import END, START, Inputs, query, r
 from tinderframe.functions import physics as P, times as TM
 from tinderframe.operators import evaluate as E, scale as SC, series as S, split as SP
 from tinderframe.plans import build as B, climatology as CL, learners as L, moisture as M, tuning as TU
+from tinderframe.session import stage_path
+from tinderframe.sources import tables as TB
 
 T = "date_time"
 VAL = ("2024-01-20 00:00:00", "2024-01-20 01:00:00")
@@ -583,6 +585,30 @@ def grid_forecast(t: Inputs):
     return B.grid_forecast(cube, terrain, stats, features, _toy_model)
 
 
+@query(
+    "grid_forecast_store",
+    "grid",
+    f"""with cube as (select l_suppkey % 8 as y, l_partkey % 12 as x, l_linenumber % 3 as run, timestamp '{START}' + interval 1 hour * (l_orderkey % 48) as time,
+        avg(l_quantity) as rh, avg(l_tax) * 100 as rain from lineitem group by 1, 2, 3, 4),
+    j as (select c.*, g.elev, g.lsm from cube c join grid g on g.y = c.y and g.x = c.x),
+    s as (select y, x, run, time, rh as raw, lsm, (rh - (select avg(rh) from j)) / (select stddev_pop(rh) from j) as rh, (elev - (select avg(elev) from j)) / (select stddev_pop(elev) from j) as elev,
+        (rain - (select avg(rain) from j)) / (select stddev_pop(rain) from j) as rain from j),
+    o as (select *, lag(rh) over (partition by y, x, run order by time) as before from s)
+    select y, x, run, epoch_us(time) as time, lsm, {r('raw')} as rh, {r('0.5 * rh + 0.3 * elev - 0.2 * rain + 0.1 * coalesce(before, 0)')} as preds from o""",
+)
+def grid_forecast_store(t: Inputs):
+    """Several runs per cell, stored by day with their inputs and land mask, and read back."""
+    hour = F.unix_seconds(F.lit(START).cast("timestamp")) + F.col("l_orderkey") % 48 * 3600
+    keys = [(F.col("l_suppkey") % 8).alias("y"), (F.col("l_partkey") % 12).alias("x"), (F.col("l_linenumber") % 3).alias("run")]
+    cube = t.table("lineitem").groupBy(*keys, F.timestamp_seconds(hour).alias("time")).agg(
+        F.avg("l_quantity").alias("rh"), (F.avg("l_tax") * 100).alias("rain")
+    )
+    out = B.forecast_runs(cube, t.grid.select("y", "x", "elev", "lsm"), ["rh", "elev", "rain"], _toy_model, "run")
+    path = stage_path(t.spark, "grid-forecast")
+    TB.write_grid_forecast(out, path)
+    return TB.scan_grid(t.spark, path, START, END, "time").select("y", "x", "run", "time", "lsm", "rh", "preds")
+
+
 # --- grids ------------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from tinderframe.functions.physics import (
 from tinderframe.functions.times import day_of_year, hour_of_day
 from tinderframe.operators.clean import SENSOR_NAMES, drop_invalid_intervals, in_range, unit_conflicts
 from tinderframe.operators.evaluate import residuals
-from tinderframe.operators.scale import scale
+from tinderframe.operators.scale import fit_standard, scale
 from tinderframe.operators.series import (
     drop_linear_runs,
     fill_missing,
@@ -180,3 +180,26 @@ def grid_forecast(
     scaled = scale(terrain_join(cube, terrain, node), stats, features)
     seqs = ordered_sequence(scaled, list(node), ts, features)
     return score_windows(seqs, list(node), "seq", features, load_model, ts, batch_size)
+
+
+def forecast_runs(
+    cube: DataFrame,
+    terrain: DataFrame,
+    features: Sequence[str],
+    load_model: Callable[[], PredictFn],
+    run: str,
+    ts: str = "time",
+    node: Sequence[str] = ("y", "x"),
+    batch_size: int = 1024,
+) -> DataFrame:
+    """Forecasts of every grid cell and run, next to their inputs and the terrain's columns.
+
+    One sequence is one run of one cell, so its length is the run's, however many runs a
+    cell has. The joined cube is stored once; scaling statistics, scoring and the output
+    read it from there.
+    """
+    joined = cut_lineage(terrain_join(cube, terrain, node), "grid-cube")
+    keys = [*node, run]
+    scaled = scale(joined, fit_standard(joined, features), features)
+    preds = score_windows(ordered_sequence(scaled, keys, ts, features), keys, "seq", features, load_model, ts, batch_size)
+    return joined.join(preds, [*keys, ts])
