@@ -30,19 +30,6 @@ def share(c: Column, of: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % of
 
 
-def row_key(id_col: str, text: str, *, to: str = "__h") -> dict[str, Column]:
-    """Columns that tell documents apart: the id and a hash of the text."""
-    return {"__id": F.col(id_col), to: F.xxhash64(text)}
-
-
-def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    """Null-safe equality of the named columns, which both sides have."""
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of about ``most`` text bytes, one row at least, so that the
     working set of a task does not depend on how long its rows are."""

@@ -5,18 +5,20 @@ line; every sentence keeps what follows it, so the sentences put together are th
 Runs of consecutive sentences slide over it: from each sentence on, and up to each sentence,
 the shortest run of at least ``least`` sentences and ``min_words`` words is hashed (case and
 white space do not count). Runs are joined over all documents by hash: the first occurrence
-of a run, by document id, then text hash, then place, stays; sentences that any later
+of a run, by document id, then place, stays; sentences that any later
 occurrence covers are removed. The runs depend on nothing but their own sentences, so those
 of a repeated passage that is long enough are the same wherever it stands, and together they
 cover it to both ends. Texts of fewer sentences than ``least`` may have one run, the whole.
 
-A hot span (a passage that a third of all documents share) is reduced to its first place by
-a partial aggregate; the join back is a plain equi-join whose hot partitions Spark may split.
-Only (hash, document, place) move; texts move once, to meet their list of removed sentences.
+Repeats inside one document need no other document and are found where its text is. Between
+documents, a hot span (a passage that a third of all documents share) is reduced to its first
+id by a partial aggregate; the join back is a plain equi-join whose hot partitions Spark may
+split. Only (hash, document, number of the run) move; texts move once, to meet their list of
+runs to remove.
 
-Defined cases: null and empty texts have no spans and stay as they are; rows that agree in id
-and text are one document and treated alike, so a repeated row is no repetition; a null id
-sorts first; an empty table gives an empty result.
+Defined cases: null and empty texts have no spans and stay as they are; rows of one id are not
+repeats of one another, so a repeated row keeps what its twin keeps, and rows that agree in id
+and text get the same result; a null id sorts last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tinderframe.llm.common import same
+from tinderframe.llm.common import slices
 
 END = re.compile(r"[.!?]\s+|\n\s*")
 
@@ -63,61 +65,69 @@ def spans(text: str | None, least: int, min_words: int) -> list[tuple[int, int,
     return [(a, b - a, xxhash.xxh3_64_intdigest("\n".join(plain[a:b])) - (1 << 63)) for a, b in sorted(runs)]
 
 
+def later_runs(runs: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Numbers of the runs that are the first of their hash in the text, and of the others."""
+    seen, first, others = set(), [], []
+    for i, (_, _, span) in enumerate(runs):
+        (others if span in seen else first).append(i)
+        seen.add(span)
+    return first, others
+
+
 def span_table(docs: DataFrame, least: int, min_words: int, text: str = "text") -> DataFrame:
-    """One row per span: __id, __h (hash of the text), at, n, span."""
+    """One row per distinct span of a document: __id, __h (hash of the text), run, span."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                row, found = [], []
-                for i, t in enumerate(part.column("__text").to_pylist()):
-                    own = spans(t, least, min_words)
-                    row += [i] * len(own)
-                    found += own
-                at, n, span = zip(*found) if found else ((), (), ())
-                ids = [part.column(c).take(pa.array(row, pa.int64())) for c in ("__id", "__h")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(span, pa.int64())], ["__id", "__h", "at", "n", "span"])
-
-    rows = docs.select(F.col("__id"), "__h", F.col(text).alias("__text"))
+        for part in slices(batches, "__text"):
+            row, number, span = [], [], []
+            for i, t in enumerate(part.column("__text").to_pylist()):
+                own = spans(t.decode() if t else None, least, min_words)
+                first, _ = later_runs(own)
+                row += [i] * len(first)
+                number += first
+                span += [own[k][2] for k in first]
+            ids = [part.column(c).take(pa.array(row, pa.int64())) for c in ("__id", "__h")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(number, pa.int32()), pa.array(span, pa.int64())], ["__id", "__h", "run", "span"])
+
+    rows = docs.select(F.col("__id"), "__h", F.col(text).cast("binary").alias("__text"))
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"__id {kind}, __h long, at int, n int, span long")
+    return rows.mapInArrow(cut, f"__id {kind}, __h long, run int, span long")
 
 
-def repeated_sentences(docs: DataFrame, least: int, min_words: int, text: str = "text") -> DataFrame:
-    """Per document with any: __id, __h and the sorted numbers of sentences to remove."""
+def repeated_runs(docs: DataFrame, least: int, min_words: int, text: str = "text") -> DataFrame:
+    """Per document with any: __id, __h and the numbers of runs that an earlier document has."""
     found = span_table(docs, least, min_words, text)
-    place = F.struct("__id", "__h", "at")
-    first = found.groupBy("span").agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
-    first = first.filter(~F.col("__first").eqNullSafe(F.col("__last"))).select(F.col("span").alias("__span"), "__first")
-    later = found.join(first, found["span"] == first["__span"]).filter(~place.eqNullSafe(F.col("__first")))
-    covered = later.select("__id", "__h", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-    return covered.groupBy("__id", "__h").agg(F.sort_array(F.collect_list("at")).alias("__gone"))
-
+    first = found.groupBy("span").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    first = first.select(F.col("span").alias("__span"), "__first")
+    later = found.join(first, found["span"] == first["__span"]).filter(~F.col("__id").eqNullSafe(F.col("__first")))
+    return later.groupBy("__id", "__h").agg(F.collect_list("run").alias("__gone"))
 
-def keep_sentences(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, gone in batches:
-        out = []
-        for t, g in zip(texts, gone):
-            own = sentences(t or "")
-            if g is not None and len(g):
-                drop = set(g)
-                t = "".join(s for i, s in enumerate(own) if i not in drop)
-            out.append((t, len(own)))
-        yield pd.DataFrame(out, columns=["text", "n"], index=texts.index)
 
+def _remove(least: int, min_words: int):
+    def remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, gone in batches:
+            out = []
+            for t, g in zip(texts, gone):
+                own, runs = sentences(t or ""), spans(t, least, min_words)
+                drop: set[int] = set()
+                for i in [*later_runs(runs)[1], *(g if g is not None else ())]:
+                    drop.update(range(runs[i][0], runs[i][0] + runs[i][1]))
+                kept = "".join(s for i, s in enumerate(own) if i not in drop) if drop else t
+                out.append((kept, len(own), sorted(drop)))
+            yield pd.DataFrame(out, columns=["text", "n", "removed"], index=texts.index)
 
-keep_sentences.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    remove.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(remove, "text string, n int, removed array<int>")
 
 
 def dedup_spans(docs: DataFrame, least: int = 2, min_words: int = 25, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with repeated spans taken out of the text, plus __removed (numbers of the
     removed sentences, empty if none) and __sentences (number of sentences before)."""
     keyed = docs.withColumns({"__id": F.col(doc_id), "__h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    gone = repeated_sentences(keyed, least, min_words, text).select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "__gone")
+    gone = repeated_runs(keyed, least, min_words, text).select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "__gone")
     out = keyed.join(gone, keyed["__id"].eqNullSafe(gone["__i"]) & (keyed["__h"] == gone["__k"]), "left")
-    out = out.withColumn("__kept", F.pandas_udf(keep_sentences, "text string, n int")(F.col(text), F.col("__gone")))
-    new = {text: F.col("__kept.text"), "__removed": F.coalesce("__gone", F.array().cast("array<int>")), "__sentences": F.col("__kept.n")}
+    out = out.withColumn("__kept", _remove(least, min_words)(F.col(text), F.col("__gone")))
+    new = {text: F.col("__kept.text"), "__removed": F.col("__kept.removed"), "__sentences": F.col("__kept.n")}
     if "n_chars" in docs.columns and text == "text":
-        new["n_chars"] = F.when(F.size("__gone") > 0, F.length("__kept.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.size("__kept.removed") > 0, F.length("__kept.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(*docs.columns, "__removed", "__sentences")
