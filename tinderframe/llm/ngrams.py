@@ -45,8 +45,8 @@ from tinderframe.session import cut_lineage, stage_path
 BEGIN, END = np.uint64(1), np.uint64(2)  # words hash to other values, but for 1 in 2**63
 SHARD_TOKENS = 1 << 20  # training tokens per shard of pairs
 HOT_WORD = 1 << 20  # first words above this many tokens are dealt by pair
-FLUSH = 1 << 21  # tokens a map task counts before it sends
-STEP_BYTES = 2 << 20
+FLUSH = 1 << 20  # tokens a map task counts before it sends
+STEP_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -311,8 +311,9 @@ def look_up(m: Model, before: np.ndarray, token: np.ndarray) -> tuple[np.ndarray
 
 
 def score_texts(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` other than the text plus n_tokens, n_known, base_score, score."""
-    others = [c for c in docs.columns if c != text]
+    """Columns of ``docs`` other than the text plus n_tokens, n_known, base_score, score;
+    input columns of those names are replaced."""
+    others = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")]
     names = [f"__{i}" for i in range(len(others))]
     rows = docs.select(*[F.col(c).alias(x) for c, x in zip(others, names)], F.col(text).cast("binary").alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
