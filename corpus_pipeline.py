@@ -25,7 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near-duplicates one document stays: the one with the smallest id,
     then the smallest hash of the text. Documents without words are one class."""
     classes = simhash.near_duplicates(docs)
-    keep = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.key").alias("__k"))
+    keep = classes.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.key").alias("__k"))
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["__i"]) & (keyed["__key"] == keep["__k"]), "left_semi")
     # rows that agree in id and text

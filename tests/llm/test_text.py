@@ -473,6 +473,17 @@ def test_pipeline_of_odd_rows(spark, odd, tmp_path):
         assert C.STAGES[-1][1](spark, start, SMALL).count() >= 0
 
 
+def test_different_texts_stay_whatever_their_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(11)
+    texts = [span_words(rng, 60) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(None, texts[0]), (9, texts[1]), (8, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r["text"] for r in C.one_of_each(spark, docs, SMALL).collect()]
+    assert sorted(got) == sorted(texts)
+
+
 def test_held_out_accuracy_of_the_registered_query(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")

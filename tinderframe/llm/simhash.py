@@ -222,8 +222,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, fp (fingerprint as a long), key (hash of the text) and
-    component_id, the smallest id of its class."""
+    """One row per document: doc_id, fp (fingerprint as a long), key (hash of the text),
+    component_id, the smallest id of its class, and root, a fingerprint that tells classes
+    apart where ids are null or shared."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), fingerprint(F.col(text), width).alias("fp"))
     own = cut_lineage(own, "fingerprints")
     prints = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
@@ -231,6 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, text: str
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = linked.join(prints, linked["node"] == prints["fp"]).select("node", "root", "first")
     names = linked.groupBy("root").agg(F.min("first").alias("name"))
-    named = linked.join(names, "root").select("node", "name")
-    classes = prints.join(named, prints["fp"] == named["node"], "left").select(F.col("fp").alias("f"), F.coalesce("name", "first").alias("component_id"))
-    return own.join(classes, own["fp"] == classes["f"]).select("doc_id", "key", "fp", "component_id")
+    named = linked.join(names, "root").select("node", "root", "name")
+    name = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("name"))
+    classes = prints.join(named, prints["fp"] == named["node"], "left").select(F.col("fp").alias("f"), name.alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return own.join(classes, own["fp"] == classes["f"]).select("doc_id", "key", "fp", "component_id", "root")
