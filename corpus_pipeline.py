@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tinderframe.llm import decontaminate, mixing, simhash, spans, toxicity
+from tinderframe.llm import decontaminate, mixing, similar, spans, toxicity
 from tinderframe.llm.common import share
 from tinderframe.llm.queries import CURRICULUM, TOXIC_AT
 from tinderframe.session import stage_path
 
+#: Near-duplicates: words of a shingle, and the least share of common ones.
+SHINGLE, SIMILAR = 5, 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. Labels of a third of the ids are left for judging."""
@@ -24,8 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near-duplicates one document stays: the one with the smallest id,
     then the smallest hash of the text. Documents without words are one class."""
-    classes = simhash.near_duplicates(docs)
-    keep = classes.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__i"), F.col("k.key").alias("__k"))
+    keep = similar.class_firsts(docs, SHINGLE, SIMILAR).select(F.col("id").alias("__i"), F.col("key").alias("__k"))
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["__i"]) & (keyed["__key"] == keep["__k"]), "left_semi")
     # rows that agree in id and text

@@ -484,6 +484,34 @@ def test_different_texts_stay_whatever_their_ids(spark):
     assert sorted(got) == sorted(texts)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    """Of chains, clusters and pairs around similarity 0.8 the classes' smallest ids stay."""
+    import corpus_pipeline as C
+    from tinderframe.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(14)
+    texts = []
+    for _ in range(12):
+        base = span_words(rng, rng.randrange(30, 200)).split()
+        for edits in range(12):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), min(edits, len(base))):
+                copy[at] = span_words(rng, 1)
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and group[i] != group[j]:
+                x, y = sorted((group[i], group[j]))
+                group = [x if g == y else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert 12 < len(set(group)) < len(texts)
+    assert {r["doc_id"] for r in C.one_of_each(spark, docs, SMALL).collect()} == set(group)
+
+
 def test_held_out_accuracy_of_the_registered_query(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
