@@ -236,6 +236,18 @@ def test_spans_equal_a_plain_version(spark):
         assert list(got[i]["__removed"]) == sorted(gone), i
 
 
+def test_repeats_between_texts_of_one_id_or_none_go(spark):
+    rng = random.Random(12)
+    shared, other = (" ".join(span_words(rng, 9) + "." for _ in range(5)) for _ in range(2))
+    rows = [(i, f"{span_words(rng, 20)}. {shared} {span_words(rng, 15)}.") for i in (None, None, 4, 4)]
+    rows += [(None, f"{other} {span_words(rng, 15)}.") for _ in range(3)]
+    got = SP.dedup_spans(spark.createDataFrame(rows + rows[2:3], "doc_id long, text string").repartition(3)).collect()
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    assert len(got) == len(rows) + 1 and len(kept) == len(rows)
+    assert sum(shared[:40] in t for _, t in kept) == 1 and all(i == 4 for i, t in kept if shared[:40] in t)
+    assert sum(other[:40] in t for _, t in kept) == 1
+
+
 def test_spans_of_odd_rows(odd, empty):
     got = SP.dedup_spans(odd).collect()
     assert len(got) == len(ODD) and SP.dedup_spans(odd).columns[:-2] == odd.columns

@@ -5,20 +5,21 @@ line; every sentence keeps what follows it, so the sentences put together are th
 Runs of consecutive sentences slide over it: from each sentence on, and up to each sentence,
 the shortest run of at least ``least`` sentences and ``min_words`` words is hashed (case and
 white space do not count). Runs are joined over all documents by hash: the first occurrence
-of a run, by document id, then place, stays; sentences that any later
+of a run, by document id, then text hash, then place, stays; sentences that any later
 occurrence covers are removed. The runs depend on nothing but their own sentences, so those
 of a repeated passage that is long enough are the same wherever it stands, and together they
 cover it to both ends. Texts of fewer sentences than ``least`` may have one run, the whole.
 
 Repeats inside one document need no other document and are found where its text is. Between
 documents, a hot span (a passage that a third of all documents share) is reduced to its first
-id by a partial aggregate; the join back is a plain equi-join whose hot partitions Spark may
+id and text hash by a partial aggregate; the join back is a plain equi-join whose hot partitions Spark may
 split. Only (hash, document, number of the run) move; texts move once, to meet their list of
 runs to remove.
 
-Defined cases: null and empty texts have no spans and stay as they are; rows of one id are not
-repeats of one another, so a repeated row keeps what its twin keeps, and rows that agree in id
-and text get the same result; a null id sorts last; an empty table gives an empty result.
+Defined cases: null and empty texts have no spans and stay as they are; rows that agree in id
+and text are one document and get the same result, so a repeated row keeps what its twin keeps;
+different texts of one id, or of a null id, are compared like any others; a null id sorts last;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,10 +98,12 @@ def span_table(docs: DataFrame, least: int, min_words: int, text: str = "text")
 def repeated_runs(docs: DataFrame, least: int, min_words: int, text: str = "text") -> DataFrame:
     """Per document with any: __id, __h and the numbers of runs that an earlier document has."""
     found = span_table(docs, least, min_words, text)
-    first = found.groupBy("span").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
-    first = first.select(F.col("span").alias("__span"), "__first")
-    later = found.join(first, found["span"] == first["__span"]).filter(~F.col("__id").eqNullSafe(F.col("__first")))
-    return later.groupBy("__id", "__h").agg(F.collect_list("run").alias("__gone"))
+    place = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__h").alias("h"))
+    first = found.groupBy("span").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    first = first.select(F.col("span").alias("__span"), F.col("__first.id").alias("__i"), F.col("__first.h").alias("__k"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k"))
+    later = found.join(first, found["span"] == first["__span"]).filter(~same)
+    return later.groupBy("__id", "__h").agg(F.collect_set("run").alias("__gone"))
 
 
 def _remove(least: int, min_words: int):
