@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tinderframe.llm import decontaminate, mixing, similar, spans, toxicity
 from tinderframe.llm.common import share
-from tinderframe.llm.queries import CURRICULUM, TOXIC_AT
+from tinderframe.llm.queries import CURRICULUM, SPAN_FLOOR, TOXIC_AT
 from tinderframe.session import stage_path
 
 #: Near-duplicates: words of a shingle, and the least share of common ones.
@@ -38,7 +38,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages stay in their first document only."""
-    return spans.dedup_spans(docs).select(*docs.columns)
+    return spans.dedup_spans(docs, min_words=SPAN_FLOOR).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

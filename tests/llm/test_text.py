@@ -248,6 +248,21 @@ def test_repeats_between_texts_of_one_id_or_none_go(spark):
     assert sum(other[:40] in t for _, t in kept) == 1
 
 
+def test_the_query_removes_short_repeated_runs(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(13)
+    run = " ".join(span_words(rng, 4) + "." for _ in range(3))  # 3 sentences, 12 words
+    trivial = "Read more. Go back. "
+    rows = [(i, f"{span_words(rng, 30)}. {run} {span_words(rng, 15)}. {trivial}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (queries()["op5_span_dedup"](spark, str(tmp_path)), C.cut_repeats(spark, docs, str(tmp_path))):
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert [run in got[i] for i in range(3)] == [True, False, False]
+        assert all(trivial in t for t in got.values())
+
+
 def test_spans_of_odd_rows(odd, empty):
     got = SP.dedup_spans(odd).collect()
     assert len(got) == len(ODD) and SP.dedup_spans(odd).columns[:-2] == odd.columns

@@ -85,9 +85,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+#: Runs of two sentences and more; fewer words than this are trivial lines.
+SPAN_FLOOR = 8
+
+
 @query("op5_span_dedup")
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spans.dedup_spans(table(spark, sf_dir, "documents"))
+    out = spans.dedup_spans(table(spark, sf_dir, "documents"), min_words=SPAN_FLOOR)
     return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.size("__removed").alias("n_removed"), F.col("__removed").alias("removed"), "text")
 
 
