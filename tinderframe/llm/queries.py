@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tinderframe.llm import decontaminate, licences, mixing, ngrams, simhash, spans, tokencount, topk, toxicity, urls
+from tinderframe.llm import codes, decontaminate, licences, mixing, ngrams, pieces, prefixtree, simhash, spans, tokencount, topk, toxicity, urls
 from tinderframe.llm.common import share
+from tinderframe.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -208,3 +211,99 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.positions(mixed, CURRICULUM)
     first = F.get("positions", F.lit(0))
     return placed.sort(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_pieces")
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: Conversations of one group start with up to three turns of the group's first one.
+GROUP, MOST_SHARED = 20, 3
+_TREE_SQL = r"""
+with t as (
+  select conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t,
+         row_number() over (partition by conv_id order by turn nulls first,
+           md5(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, list(t order by pos) as t from t group by conv_id),
+h as (
+  select c.conv_id, c.t, b.t as bt, xor(list_reduce(
+    list_prepend(4294967295::bigint, flatten(list_transform(string_split(c.conv_id::varchar, ''), lambda x: list_transform(range(8), lambda i: (ord(x) >> i) & 1)))),
+    lambda a, bit: case when xor(a, bit) & 1 = 1 then xor(xor(a, bit) >> 1, 3988292384::bigint) else xor(a, bit) >> 1 end), 4294967295::bigint) % 4 as h
+  from c left join c b on b.conv_id = c.conv_id - c.conv_id % 20),
+r as (select conv_id, list_concat(coalesce(bt[1 : h], []), t[h + 1 :]) as s from h),
+m as (select conv_id, d, s[1 : d] as p, d = len(s) as is_end from (select *, unnest(range(0, len(s) + 1)) as d from r)),
+n as (
+  select p, d, min(conv_id) as conv_id, count(*) as n, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (is_end), '')) as ends,
+         (count(*) - 1) * case when d > 0 then len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) else 0 end as own
+  from m group by p, d),
+k as (select p[1 : d - 1] as p, count(*) as kids from n where d > 0 group by 1),
+f as (select n.*, coalesce(kids, 0) as kids from n left join k on k.p = n.p),
+u as (select p[1 : a] as p, count(*) filter (kids = 0) as leaves, sum(own) as saved from (select *, unnest(range(0, d + 1)) as a from f) group by 1)
+select f.conv_id, f.d as depth, q.conv_id as parent_conv_id, f.n as n_convs, f.kids as n_children, u.leaves as n_leaves,
+       u.saved::bigint as saved_tokens, f.ends as ends_sha256
+from f join u on u.p = f.p left join n q on q.d = f.d - 1 and q.p = f.p[1 : f.d - 1]"""
+
+
+@query("op12_prefix_tree", _TREE_SQL)
+def op12_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtree.turn_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns = cut_lineage(turns, "turns")
+    conv = F.col("conv_id")
+    paths = prefixtree.follow_template(turns, conv - conv % GROUP, share(conv, MOST_SHARED + 1), MOST_SHARED)
+    out = prefixtree.prefix_tree(cut_lineage(paths, "rebuilt"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+_CODES_SQL = """
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select vec_id, label, i as part, v[i * (len(v) // 16) + 1 : (i + 1) * (len(v) // 16)] as x from v, (select unnest(range(16)) as i)),
+b0 as (select part, e - 1 as e, x from (select *, row_number() over (partition by part order by vec_id) as e from p) where e <= 64),
+"""
+for _i in range(3):
+    _CODES_SQL += f"""d{_i} as (
+  select p.part, p.vec_id, b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+  from p join b{_i} b on b.part = p.part),
+a{_i} as (select part, vec_id, min({{'d': d, 'e': e}}) as best from d{_i} group by part, vec_id),
+"""
+    if _i < 2:
+        _CODES_SQL += f"""m{_i} as (
+  select part, e, list(z order by k) as x from (
+    select a.part, a.best.e as e, k, floor(sum(p.x[k])::double / count(*))::bigint as z
+    from a{_i} a join p on p.part = a.part and p.vec_id = a.vec_id, (select unnest(range(1, 1 + (select max(len(x)) from p))) as k)
+    group by all) group by part, e),
+b{_i + 1} as (select b.part, b.e, coalesce(m.x, b.x) as x from b{_i} b left join m{_i} m on m.part = b.part and m.e = b.e),
+"""
+_CODES_SQL += """r as (
+  select vec_id, string_agg(lpad(format('{:x}', best.e), 2, '0'), '' order by part) as code, sum(best.d)::bigint as error from a2 group by vec_id),
+s as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) as h from b2)
+select r.vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, s.h as codebooks_sha256
+from r join v on v.vec_id = r.vec_id, s"""
+#: Labels up to which their sums are sent to every task.
+BROADCAST_LABELS = 100_000
+
+
+@query("op13_codes", _CODES_SQL)
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")))
+    vectors = rows.select("vec_id", "label", F.when(codes.finite(F.col("embedding")), whole).alias("v"))
+    out, books = codes.encode(vectors, "v", "vec_id", parts=16, entries=64, rounds=2)
+    out = cut_lineage(out, "codes")
+    per_label = out.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error"))
+    sums = F.broadcast(per_label) if out.agg(F.approx_count_distinct("label")).first()[0] <= BROADCAST_LABELS else per_label
+    code = F.array_join(F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "")
+    joined = out.join(sums, out["label"].eqNullSafe(sums["l"]))
+    return joined.select("vec_id", code.alias("code"), "error", "label_error", F.lit(hashlib.sha256(books.text().encode()).hexdigest()).alias("codebooks_sha256"))
