@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tinderframe.functions import physics as P, times as TM
 from tinderframe.operators import evaluate as E, reshape as R, scale as SC, split as SP
-from tinderframe.plans import build as B, climatology as CL, learners as L, moisture as M, tuning as TU
+from tinderframe.plans import build as B, climatology as CL, learners as L, moisture as M, trees as TR, tuning as TU
 
 T0 = datetime(2024, 1, 1)
 
@@ -323,15 +323,49 @@ def test_sensor_rows_with_two_units_are_refused(spark):
 
 def test_trees_learn_a_step(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("x"), F.when(F.col("id") % 20 < 10, 1.0).otherwise(9.0).alias("fm"))
-    for model in (L.boosted_trees(maxIter=30, featureSubsetStrategy="all"), L.random_forest(featureSubsetStrategy="all")):
+    for model in (L.boosted_trees(trees=30), L.random_forest()):
         got = L.predict(L.fit(model, df, ["x"]), df).agg(F.avg(F.abs(F.col("fm") - F.col("preds")))).first()[0]
         assert got < 0.6
 
 
 def test_default_tree_settings():
-    # built without a session only where one exists already
     m = L.boosted_trees()
-    assert (m.getMaxDepth(), m.getStepSize(), m.getMaxIter(), m.getSubsamplingRate()) == (3, 0.1, 100, 0.8)
+    assert (m.depth, m.rate, m.trees, m.rows, m.columns, m.least_gain) == (3, 0.1, 100, 0.8, 0.9, 0.1)
+    f = L.random_forest()
+    assert (f.depth, f.trees, f.columns, f.boosted) == (5, 25, 0.8, False)
+
+
+def test_trees_do_not_depend_on_partitions_or_order(spark, monkeypatch):
+    df = spark.range(3000).select(
+        "id", F.round(F.sin("id") * 10, 3).alias("a"), (F.col("id") * 7 % 101).cast("double").alias("b"),
+        F.when(F.col("id") % 9 > 0, F.cos("id")).alias("c"), (F.sin("id") * 20 + F.col("id") * 7 % 101 / 5).alias("fm"), (F.col("id") % 3).alias("w"),
+    )
+    for settings in (L.boosted_trees(trees=12), L.random_forest(trees=4)):
+        models = []
+        for rows, block in ((df, 65_536), (df.orderBy(F.desc("b")).repartition(7), 100)):
+            monkeypatch.setattr(TR, "BLOCK", block)
+            models.append(L.fit(settings, rows, ["a", "b", "c"], key=["id"], weight="w"))
+        one, two = models
+        assert one.edges == two.edges and one.base == two.base
+        for x, y in zip(one.trees, two.trees):
+            assert x.feature.tolist() == y.feature.tolist() and x.bin.tolist() == y.bin.tolist() and x.value.tolist() == y.value.tolist()
+        got = L.predict(one, df).agg(F.count_if(F.col("preds").isNull() != F.col("c").isNull()), F.avg(F.abs(F.col("fm") - F.col("preds")))).first()
+        assert got[0] == 0 and got[1] < 7
+
+
+def test_a_split_must_reduce_the_loss(spark):
+    """Two groups of 100 rows 0.02 apart lower the squared error by 0.02, less than 0.1."""
+    df = spark.range(200).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2 * 0.02).alias("fm"), "id")
+    s = L.boosted_trees(trees=1, rows=1.0, columns=1.0)
+    assert (L.fit(s, df, ["x"], key=["id"]).trees[0].feature < 0).all()
+    loose = L.fit(L.boosted_trees(trees=1, rows=1.0, columns=1.0, least_gain=0.01), df, ["x"], key=["id"]).trees[0]
+    assert loose.feature[0] == 0 and loose.gain[0] == pytest.approx(100 * 100 * 0.01**2 / 101 * 2)
+
+
+def test_trees_of_no_rows_and_far_values(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (None, 4.0), (2.0, None)], "x double, fm double")
+    assert [r["preds"] for r in L.predict(L.fit(L.boosted_trees(trees=2), df.where("false"), ["x"]), df).collect()] == [0.0, None, 0.0]
+    assert [r["preds"] for r in L.predict(L.fit(L.boosted_trees(trees=2), df, ["x"]), df).collect()] == [5.0, None, 5.0]
 
 
 def test_scoring_in_uneven_batches(spark):

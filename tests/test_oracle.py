@@ -8,7 +8,7 @@ from compare import TABLES, compare
 from tinderframe.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"gbt_eval"}  # a hundred boosting rounds; covered by test_models with fewer
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")

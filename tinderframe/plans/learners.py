@@ -1,4 +1,4 @@
-"""Trained baselines on MLlib, and batch scoring with a model the user supplies."""
+"""Trained baselines, and batch scoring with a model the user supplies."""
 
 from __future__ import annotations
 
@@ -10,34 +10,22 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tinderframe.session import cut_lineage
+from tinderframe.plans.trees import Settings, TreeModel, fit_trees
 
 
-def boosted_trees(**overrides) -> GBTRegressor:
-    """Gradient-boosted trees with the documented default settings.
-
-    A minimum loss reduction per split (0.1) is a sum over a node's rows; MLlib's minimum
-    gain is a mean per row, for which 0 is the nearest setting.
-    """
-    settings = dict(
-        maxDepth=3,
-        stepSize=0.1,
-        maxIter=100,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.9",
-        minInstancesPerNode=1,
-        minInfoGain=0.0,
-        seed=42,
-    )
-    return GBTRegressor(featuresCol="features", labelCol="fm", predictionCol="preds", **(settings | overrides))
+def boosted_trees(**overrides) -> Settings:
+    """Gradient-boosted trees with the documented default settings: a minimum loss reduction
+    per split, a share of the rows per round and of the features per tree, L2 of 1."""
+    settings = dict(trees=100, depth=3, rate=0.1, rows=0.8, columns=0.9, least=1.0, least_gain=0.1, l2=1.0, boosted=True)
+    return Settings(**(settings | overrides))
 
 
-def random_forest(**overrides) -> RandomForestRegressor:
-    settings = dict(numTrees=25, maxDepth=5, minInstancesPerNode=1, featureSubsetStrategy="0.8", seed=42)
-    return RandomForestRegressor(featuresCol="features", labelCol="fm", predictionCol="preds", **(settings | overrides))
+def random_forest(**overrides) -> Settings:
+    """Bootstrapped regression trees; a share of the features per node."""
+    return Settings(**(dict(trees=25, depth=5, columns=0.8, least=1.0, boosted=False) | overrides))
 
 
 def linear_model(**overrides) -> LinearRegression:
@@ -51,25 +39,26 @@ def feature_matrix(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
     return assembler.transform(df).select(*keep, "features")
 
 
-def fit(estimator, train: DataFrame, features: Sequence[str], target: str = "fm", weight: str | None = None):
-    """Fit on the selected features, optionally weighting rows; returns a pipeline model.
+def fit(estimator, train: DataFrame, features: Sequence[str], target: str = "fm", weight: str | None = None, key: Sequence[str] = ()):
+    """Fit on the selected features, optionally weighting rows.
 
     Rows with a missing feature cannot be fitted and are left out; for scoring they are kept
-    (see :func:`predict`). Trees pass over their rows many times, so these are stored once
-    beforehand.
+    (see :func:`predict`). ``key`` names the columns that tell rows apart when trees draw them.
     """
+    if isinstance(estimator, Settings):
+        return fit_trees(train, features, target, estimator, key, weight)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     estimator = estimator.setLabelCol(target)
     if weight is not None:
         estimator = estimator.setWeightCol(weight)
     rows = assembler.transform(train).select("features", target, *([weight] if weight else []))
-    if isinstance(estimator, (GBTRegressor, RandomForestRegressor)):
-        rows = cut_lineage(rows)
     return PipelineModel([assembler.copy({assembler.handleInvalid: "keep"}), estimator.fit(rows)])
 
 
 def predict(model, df: DataFrame) -> DataFrame:
     """``df`` with ``preds``: every row comes out, those with a missing feature with null."""
+    if isinstance(model, TreeModel):
+        return model.transform(df)
     known = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in model.stages[0].getInputCols()])
     return model.transform(df).drop("features").withColumn("preds", F.when(known, F.col("preds")))
 
