@@ -384,6 +384,31 @@ def test_scoring_in_uneven_batches(spark):
     assert sorted((r["stid"], r["date_time"], r["preds"]) for r in got.collect()) == sorted((s, t, 2 * x) for s, t, x in rows)
 
 
+def test_scoring_gives_way_to_memory(spark):
+    rows = [(f"s{i}", T0 + timedelta(hours=h), float(i)) for i in range(300) for h in range(2)]
+    df = spark.createDataFrame(rows, "stid string, date_time timestamp, x double").coalesce(1)
+    from tinderframe.operators.series import ordered_sequence
+
+    class Full(Exception):
+        pass
+
+    def load(room):
+        def predict(x):
+            if len(x) > room:
+                raise Full
+            return x[:, :, 0] * 2
+
+        return lambda: predict
+
+    seqs = ordered_sequence(df, ["stid"], "date_time", ["x"]).coalesce(1)
+    steps = spark.sparkContext.accumulator(0)
+    got = L.score_windows(seqs, ["stid"], "seq", ["x"], load(100), out_of_memory=(Full,), fallbacks=steps).collect()
+    assert sorted((r["stid"], r["date_time"], r["preds"]) for r in got) == sorted((s, t, 2 * x) for s, t, x in rows)
+    assert steps.value == 2  # 300 -> 150 -> 75
+    with pytest.raises(Exception, match="Full"):
+        L.score_windows(seqs, ["stid"], "seq", ["x"], load(20), out_of_memory=(Full,)).collect()
+
+
 def test_published_search_space(spark):
     archs = TU.model_grid(spark).collect()
     assert len(archs) == 812

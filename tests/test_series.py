@@ -56,8 +56,8 @@ def test_interpolation_equals_numpy(spark, seed):
     np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-12)
 
 
-@pytest.mark.parametrize("seconds", [3600, 514, 327, 10, 0.004])
-def test_interpolation_at_any_stamp_equals_numpy(spark, seconds):
+@pytest.mark.parametrize("most", [1_000_000, 200, 37, 3, 1])
+def test_interpolation_at_any_stamp_equals_numpy(spark, most):
     rng = random.Random(5)
     rows = sorted(("a", T0 + timedelta(seconds=rng.randrange(0, 4_000_000)), rng.uniform(0, 50)) for _ in range(70))
     rows = sorted(rows + [("a", T0 + timedelta(days=2, milliseconds=700 * i), float(i)) for i in range(90)])
@@ -67,7 +67,7 @@ def test_interpolation_at_any_stamp_equals_numpy(spark, seconds):
     rows = sorted({r[1]: r for r in rows + burst}.values())
     asked = sorted({*asked, *(T0 + timedelta(days=3, microseconds=700 * i) for i in range(100))})
     targets = frame(spark, [("a", t) for t in asked], "stid string, date_time timestamp")
-    found = S.interpolate_at(frame(spark, rows), targets, ["stid"], "date_time", "fm", segment=int(seconds * 1_000_000))
+    found = S.interpolate_at(frame(spark, rows), targets, ["stid"], "date_time", "fm", segment=most)
     got = found.orderBy("date_time").collect()
     assert [g["date_time"] for g in got] == asked
     want = np.interp([(t - T0).total_seconds() for t in asked], [(r[1] - T0).total_seconds() for r in rows], [r[2] for r in rows])

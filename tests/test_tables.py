@@ -215,6 +215,55 @@ def test_unreadable_files_are_an_error_or_listed(spark, tmp_path):
     assert [r["file"].rsplit("/", 1)[1] for r in TB.unreadable_files(spark, path).collect()] == ["bad.parquet"]
 
 
+def test_files_with_a_broken_middle_are_listed(spark, tmp_path):
+    """The list is what a tolerant scan leaves out, for the columns in use."""
+    path = tmp_path / "store"
+    for n in range(3):
+        spark.range(n * 50_000, n * 50_000 + 50_000, numPartitions=1).select("id", F.rand(n).alias("v")).write.mode("append").parquet(str(path))
+    file = sorted(path.glob("*.parquet"))[1]
+    data = file.read_bytes()
+    footer = int.from_bytes(data[-8:-4], "little") + 8
+    file.write_bytes(data[:4] + bytes(len(data) - 4 - footer) + data[-footer:])
+    (path / f".{file.name}.crc").write_bytes(b"")
+    lost = TB.unreadable_files(spark, str(path)).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["rows_stored"]) for r in lost] == [(file.name, 50_000)]
+    left = spark.read.option("ignoreCorruptFiles", "true").parquet(str(path)).where("v >= 0").count()
+    assert left == 150_000 - 50_000 + lost[0]["rows_read"]
+
+
+def test_a_day_without_a_mark_or_with_a_lost_file_is_written_again(spark, tmp_path):
+    path = str(tmp_path / "days")
+    rows = [("a", datetime(2024, 1, d, h), float(h)) for d in (1, 2, 3) for h in range(24)]
+    df = spark.createDataFrame(rows, "stid string, date_time timestamp, fm double")
+    TB.write_days(df.where("day(date_time) = 2 and fm < 5"), path)  # a run that broke off
+    assert TB.complete_days(spark, path) is None
+    TB.write_missing_days(df, path)
+    assert TB.scan_grid(spark, path, "2024-01-01", "2024-01-03 23:00:00").count() == 72
+    TB.write_missing_days(df.withColumn("fm", F.lit(-1.0)), path)
+    assert TB.scan_grid(spark, path, "2024-01-01", "2024-01-03 23:00:00").where("fm < 0").count() == 0
+    for f in (tmp_path / "days" / "year=2024" / "month=1" / "day=3").glob("*.parquet"):
+        f.unlink()
+    assert sorted(str(r["day"]) for r in TB.complete_days(spark, path).collect()) == ["2024-01-01", "2024-01-02"]
+    TB.write_missing_days(df, path)
+    assert TB.scan_grid(spark, path, "2024-01-01", "2024-01-03 23:00:00").count() == 72
+
+
+def test_file_order_survives_a_join(spark, tmp_path):
+    for day in ("20240103", "20240101", "20240102"):
+        spark.createDataFrame([("a", int(day[-1]))], "stid string, fm int").coalesce(1).write.parquet(f"{tmp_path}/obs_{day}.parquet")
+    rows = TB.with_source_token(spark.read.parquet(f"{tmp_path}/*.parquet"), 1).join(spark.createDataFrame([("a",)], "stid string"), "stid")
+    got = TB.source_order(rows.repartition(3)).orderBy("file_order").collect()
+    assert [(r["source"], r["file_order"], r["fm"]) for r in got] == [("20240101", 1, 1), ("20240102", 2, 2), ("20240103", 3, 3)]
+
+
+def test_dependency_closure_is_deep_and_safe_against_cycles(spark):
+    needs = [("dew", "rh"), ("dew", "temp"), ("Ed", "dew"), ("Ew", "Ed"), ("p", "q"), ("q", "p"), ("q", "x"), ("me", "me"), (None, "y"), ("z", None)]
+    needs = spark.createDataFrame(needs, "feature string, needs string")
+    wanted = spark.createDataFrame([("Ew",), ("Ew",), ("p",), ("wind",), ("me",)], "feature string")
+    got = sorted((r["feature"], r["base"]) for r in C.dependency_closure(wanted, needs).collect())
+    assert got == [("Ew", "rh"), ("Ew", "temp"), ("p", "x"), ("wind", "wind")]
+
+
 def test_stored_days_come_from_folders(spark, tmp_path):
     path = str(tmp_path / "days")
     assert TB.stored_days(spark, path) is None

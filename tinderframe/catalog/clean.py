@@ -425,3 +425,34 @@ def describe_columns(t: Inputs):
 def data_fingerprint(t: Inputs):
     """Order-free hash of all readings."""
     return R.fingerprint(t.obs.withColumn("date_time", F.col("date_time").cast("timestamp")))
+
+
+@query(
+    "dependency_closure",
+    "",
+    """with recursive links as (
+      select 'c' || c_custkey as feature, 'n' || c_nationkey as needs from customer
+      union select 's' || s_suppkey, 'n' || s_nationkey from supplier
+      union select 'n' || n_nationkey, 'r' || n_regionkey from nation
+      union select 'n' || n_nationkey, 'n' || (n_nationkey * 7 % 25) from nation
+      union select 'r0', 'n0'),
+    reach as (
+      select feature, feature as base from links where feature[1] in ('c', 's')
+      union select reach.feature, links.needs from reach join links on links.feature = reach.base)
+    select feature, base from reach where base not in (select feature from links)""",
+)
+def dependency_closure(t: Inputs):
+    """What customers and suppliers rest on through nations and regions, with nations that
+    need each other and a region that needs a nation."""
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string") if isinstance(key, str) else key.cast("string"))
+    nation = t.table("nation")
+    links = [
+        t.table("customer").select(name("c", "c_custkey").alias("feature"), name("n", "c_nationkey").alias("needs")),
+        t.table("supplier").select(name("s", "s_suppkey"), name("n", "s_nationkey")),
+        nation.select(name("n", "n_nationkey"), name("r", "n_regionkey")),
+        nation.select(name("n", "n_nationkey"), name("n", F.col("n_nationkey") * 7 % 25)),
+        nation.select(F.lit("r0"), F.lit("n0")),
+    ]
+    needs = links[0].union(links[1]).union(links[2]).union(links[3]).union(links[4])
+    wanted = needs.where(F.substring("feature", 1, 1).isin("c", "s")).select("feature")
+    return C.dependency_closure(wanted, needs)

@@ -164,22 +164,39 @@ def equilibria(t: Inputs):
     return B.add_predictors(t.weather).select("stid", T, "Ed", "Ew", "hod", "doy")
 
 
-def _cubic(knots, values) -> str:
-    """The spline as a plain CASE over its intervals."""
-    arms = []
-    for i, (a, b, c, d) in enumerate(P.spline_pieces(knots, values).tolist()):
-        u = f"(fm - {float(knots[i])!r})"
-        value = f"{a!r} + {u} * ({b!r} + {u} * ({c!r} + {u} * {d!r}))"
-        last = i == len(knots) - 2
-        arms.append(f"else {value}" if last else f"when fm < {float(knots[i + 1])!r} then {value}")
-    return f"case when fm > 30 then 0.0 {' '.join(arms)} end"
+def _spline_sql(p: str, knots, values) -> str:
+    """Cubic spline solved in SQL: the tridiagonal system of second derivatives by two
+    recursions, end rows from equal third derivatives at the second and last-but-one knot."""
+    return f"""
+    {p}k as (select unnest(range({len(knots)})) as i, unnest({[float(k) for k in knots]}::double[]) as x, unnest({[float(v) for v in values]}::double[]) as y),
+    {p}h as (select i, x, y, lead(x) over w - x as h, (lead(y) over w - y) / (lead(x) over w - x) as s,
+        x - lag(x) over w as g, (y - lag(y) over w) / (x - lag(x) over w) as q from {p}k window w as (order by i)),
+    {p}q as (select i, case when i = {len(knots) - 2} then g - h * h / g else g end as a,
+        2 * (g + h) + case when i = 1 then g * (g + h) / h when i = {len(knots) - 2} then h * (h + g) / g else 0 end as b,
+        case when i = 1 then h - g * g / h else h end as c, 6 * (s - q) as d from {p}h where i between 1 and {len(knots) - 2}),
+    {p}f as (select i, c / b as c, d / b as d from {p}q where i = 1
+      union all select q.i, q.c / (q.b - q.a * f.c), (q.d - q.a * f.d) / (q.b - q.a * f.c) from {p}f f join {p}q q on q.i = f.i + 1),
+    {p}b as (select i, d as m from {p}f where i = {len(knots) - 2}
+      union all select f.i, f.d - f.c * b.m from {p}b b join {p}f f on f.i = b.i - 1),
+    {p}m as (select i, m from {p}b
+      union all select 0, ((h.g + h.h) * u.m - h.g * v.m) / h.h from {p}h h, {p}b u, {p}b v where h.i = 1 and u.i = 1 and v.i = 2
+      union all select {len(knots) - 1}, ((h.g + h.h) * u.m - h.h * v.m) / h.g from {p}h h, {p}b u, {p}b v
+        where h.i = {len(knots) - 2} and u.i = {len(knots) - 2} and v.i = {len(knots) - 3}),
+    {p} as (select h.i, h.x, h.y, h.s - h.h * (2 * l.m + r.m) / 6 as b, l.m / 2 as c, (r.m - l.m) / (6 * h.h) as d
+      from {p}h h join {p}m l on l.i = h.i join {p}m r on r.i = h.i + 1)"""
+
+
+def _on_spline(p: str) -> str:
+    u = f"(fm - {p}.x)"
+    return r(f"1000 * case when fm > 30 then 0 else {p}.y + {u} * ({p}.b + {u} * ({p}.c + {u} * {p}.d)) end")
 
 
 @query(
     "ros_curve",
     "obs",
-    f"""select stid, epoch_us(date_time) as date_time, {r('1000 * (' + _cubic(P.CALM_MOISTURE, P.CALM_SPREAD) + ')')} as calm,
-      {r('1000 * (' + _cubic(P.WINDY_MOISTURE, P.WINDY_SPREAD) + ')')} as windy from obs""",
+    f"""with {_spline_sql("calm", P.CALM_MOISTURE, P.CALM_SPREAD)}, {_spline_sql("windy", P.WINDY_MOISTURE, P.WINDY_SPREAD)}
+    select stid, epoch_us(date_time) as date_time, {_on_spline("calm")} as calm, {_on_spline("windy")} as windy
+    from obs asof join calm on greatest(fm, 0) >= calm.x asof join windy on greatest(fm, 0) >= windy.x""",
 )
 def ros_curve(t: Inputs):
     fm = F.col("fm")
@@ -598,6 +615,31 @@ def score_windows(t: Inputs):
     return L.score_windows(seqs, ["stid", "period"], "seq", ["Ed", "Ew", "rain"], _toy_model)
 
 
+def _small_model():
+    """The toy model on a machine that holds a hundred sequences."""
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        if len(x) > 100:
+            raise MemoryError(f"no room for {len(x)} sequences")
+        return _toy_model()(x)
+
+    return predict
+
+
+@query(
+    "score_fallback",
+    "hourly weather",
+    f"""with {_FORCED}, p as (select *, date_diff('hour', timestamp '{START}', date_time) // 2 as period from forced),
+    q as (select *, row_number() over w - 1 as step, lag(ed) over w as before from p window w as (partition by stid, period order by date_time))
+    select stid, period, cast(step as int) as step, epoch_us(date_time) as date_time,
+      {r('0.5 * ed + 0.3 * ew - 0.2 * rain + 0.1 * coalesce(before, 0)')} as preds from q""",
+)
+def score_fallback(t: Inputs):
+    """Two-hour sequences, thousands of them, for a model that fails above a hundred."""
+    seqs = S.ordered_sequence(S.forecast_periods(forced(t), T, START, 2), ["stid", "period"], T, ["Ed", "Ew", "rain"])
+    return L.score_windows(seqs, ["stid", "period"], "seq", ["Ed", "Ew", "rain"], _small_model)
+
+
 _SENSORS = {"click": "air_temp", "view": "relative_humidity", "purchase": "precip_accum", "signup": "fuel_moisture"}
 
 
@@ -734,6 +776,28 @@ def funnel_grid(t: Inputs):
     return lists.select(F.array_join(F.transform("w", lambda x: x.cast("string")), "-").alias("units"))
 
 
+_LAYERS_SQL = """with recursive u as (select distinct l_linenumber::int as u from lineitem),
+    s as (select a.n as a, b.n as b from (select unnest(range(1, 4)) as n) a, (select unnest(range(0, 4)) as n) b),
+    g as (select a, b, [u] as units from s, u
+      union all select a, b, list_append(units, u.u) from g, u where len(units) < a + b and u.u <= units[len(units)])
+    select repeat('lstm ', a) || repeat('dense ', b) || case when b > 0 then 'dropout ' else '' end as layers,
+      array_to_string(units, ' ') as units, repeat('tanh ', a) || repeat('relu ', b) || case when b > 0 then '- ' else '' end as activations
+    from g where len(units) = a + b"""
+
+
+@query("architectures", "", _LAYERS_SQL)
+def architectures(t: Inputs):
+    """Every layer stack of the published search with widths that a column holds."""
+    widths = [r[0] for r in t.table("lineitem").select(F.col("l_linenumber").cast("int")).distinct().collect()]  # a settings list
+    grid = TU.model_grid(t.spark, units=sorted(widths))
+    spell = lambda c, none: F.concat_ws("", F.transform(c, lambda x: F.concat(F.coalesce(x, F.lit(none)), F.lit(" "))))
+    return grid.select(
+        spell("hidden_layers", "").alias("layers"),
+        F.array_join("hidden_units", " ").alias("units"),
+        spell("hidden_activation", "-").alias("activations"),
+    )
+
+
 @query(
     "grid_search",
     "hourly weather",

@@ -52,10 +52,7 @@ def interp_multi(t: Inputs):
     return S.interpolate_hourly(e, K, T, ["a", "b"], START, END, static=["home"])
 
 
-@query(
-    "asof_bracket",
-    "obs",
-    f"""
+_ASOF_SQL = f"""
     with asked as (select distinct o_custkey % 16 as stid,
         timestamp '{START}' + interval 1 second * (o_orderkey * 7919 % 2592000) as date_time from orders),
     knots as (select distinct stid, date_time, fm from obs),
@@ -66,18 +63,30 @@ def interp_multi(t: Inputs):
     select lo.stid, epoch_us(lo.date_time) as date_time, epoch_us(t_before) as t_before, {r('v_before')} as v_before,
       epoch_us(t_after) as t_after, {r('v_after')} as v_after
     from lo join hi on lo.stid = hi.stid and lo.date_time = hi.date_time
-    """,
+    """
+
+
+@query(
+    "asof_bracket",
+    "obs",
+    _ASOF_SQL,
 )
 def asof_bracket(t: Inputs):
     """Readings before and after arbitrary stamps taken from the orders."""
+    return S.bracket(t.obs, _asked(t), K, T, "fm")
+
+
+@query("asof_segments", "obs", _ASOF_SQL)
+def asof_segments(t: Inputs):
+    """The same with every station cut into parts of about a hundred rows."""
+    return S.bracket(t.obs, _asked(t), K, T, "fm", segment=100)
+
+
+def _asked(t: Inputs):
     second = (F.col("o_orderkey") * 7919 % 2592000).cast("long")
     start = F.unix_seconds(F.lit(START).cast("timestamp"))
-    asked = (
-        t.table("orders")
-        .select((F.col("o_custkey") % 16).alias("stid"), F.timestamp_seconds(start + second).alias("date_time"))
-        .distinct()
-    )
-    return S.bracket(t.obs, asked, K, T, "fm")
+    stamp = F.timestamp_seconds(start + second).alias("date_time")
+    return t.table("orders").select((F.col("o_custkey") % 16).alias("stid"), stamp).distinct()
 
 
 @query(

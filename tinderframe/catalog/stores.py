@@ -115,3 +115,86 @@ def climatology_wide(t: Inputs):
     times = ["2001-06-05 00:00:00", "2001-06-06 00:00:00"]
     clim = CL.climatology(t.hist, times[0], times[1], "1 day", 5, 15, 4)
     return CL.wide_forecasts(clim, times)
+
+
+def _damage(spark, folder: str, change) -> None:
+    """Replace the bytes of every data file in a folder, in whatever file system it is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    fs = path.getFileSystem(conf)
+    for f in fs.globStatus(path):
+        stream = fs.open(f.getPath())
+        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        stream.close()
+        out = fs.create(f.getPath(), True)
+        out.write(bytearray(change(data)))
+        out.close()
+
+
+def _hollow(data: bytes) -> bytes:
+    """Good ends around a middle of zeros; the footer is as it was."""
+    footer = int.from_bytes(data[-8:-4], "little") + 8
+    return data[:4] + bytes(len(data) - footer - 4) + data[-footer:]
+
+
+@query(
+    "unreadable_store",
+    "obs",
+    """select stid, case when stid = 3 then null else count(*) end as rows_stored, 0::bigint as rows_read,
+      (select count(*) from obs where stid not in (3, 5)) as left_over
+    from obs where stid in (3, 5) group by stid""",
+)
+def unreadable_store(t: Inputs):
+    """A store of a folder per station, one cut off and one hollow: what a tolerant scan leaves out."""
+    path = stage_path(t.spark, "damaged")
+    t.obs.hint("rebalance", "stid").write.partitionBy("stid").parquet(path)
+    _damage(t.spark, f"{path}/stid=3", lambda data: data[: len(data) // 2])
+    _damage(t.spark, f"{path}/stid=5", _hollow)
+    lost = TB.unreadable_files(t.spark, path)
+    stid = F.regexp_extract("file", "stid=([0-9]+)/", 1).cast("long")
+    tolerant = t.spark.read.option("ignoreCorruptFiles", "true").parquet(path).where("fm is not null")
+    left = tolerant.agg(F.count(F.lit(1))).first()[0]
+    return lost.groupBy(stid.alias("stid")).agg(
+        F.sum("rows_stored").alias("rows_stored"), F.sum("rows_read").alias("rows_read"), F.lit(left).alias("left_over")
+    )
+
+
+@query(
+    "completed_days",
+    "weather",
+    f"""select stid, epoch_us(date_time) as date_time, {r("case when date_time >= timestamp '2024-01-12' then rh else rh + 1000 end")} as rh
+    from weather where date_time between timestamp '2024-01-05' and timestamp '2024-01-19 21:00'""",
+)
+def completed_days(t: Inputs):
+    """A first run that ended half-way is completed, finished days stay as they are.
+
+    Days before the 11th are stored in full (first values); of the 11th and 12th only some
+    hours came through before the run broke off, so their folders are there without a mark.
+    """
+    path = stage_path(t.spark, "weather-days")
+    first = t.weather.withColumn("rh", F.col("rh") + 1000)
+    TB.write_missing_days(first.where(F.col(T) < F.lit("2024-01-11").cast("timestamp")), path)
+    cut_off = (F.to_date(T) >= F.lit("2024-01-11").cast("date")) & (F.to_date(T) <= F.lit("2024-01-12").cast("date"))
+    TB.write_days(first.where(cut_off & (F.hour(T) < 9)), path)
+    day = F.to_date(T) == F.lit("2024-01-11").cast("date")
+    TB.write_missing_days(t.weather.withColumn("rh", F.when(day, F.col("rh") + 1000).otherwise(F.col("rh"))), path)
+    return TB.scan_grid(t.spark, path, "2024-01-05 00:00:00", "2024-01-19 21:00:00").select("stid", T, "rh")
+
+
+@query(
+    "dated_files",
+    "pred",
+    f"""with d as (select *, '2024010' || (8 - rep) as source, dense_rank() over (order by rep desc) as file_order from pred)
+    select stid, source, cast(file_order as int) as file_order, {r('fm')} as fm from (
+      select *, row_number() over (partition by stid order by file_order, fm) as k from d) where k = 1""",
+)
+def dated_files(t: Inputs):
+    """Files whose dates run against the order they were written in; the earliest date wins,
+    also after a join."""
+    folder = stage_path(t.spark, "dated")
+    for rep in range(1, 8):  # replications of the prediction table
+        t.pred.where(F.col("rep") == rep).select("stid", "fm").write.parquet(f"{folder}/obs_2024010{8 - rep}.parquet")
+    rows = TB.with_source_token(t.spark.read.parquet(f"{folder}/*.parquet"), 1)
+    known = rows.join(t.pred.select("stid").distinct(), "stid")
+    ranked = TB.source_order(known).select("stid", "file_order", "fm", "source")
+    return R.first_source_wins(ranked, ["stid"], "file_order").select("stid", "source", "file_order", "fm")

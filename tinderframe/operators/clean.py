@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tinderframe.functions.times import DAY_SECONDS
+from tinderframe.session import cut_lineage
 
 # Physical bounds, both ends allowed.
 PHYSICAL_BOUNDS = {
@@ -107,6 +108,28 @@ def required_columns(features: Sequence[str]) -> dict[str, list[str]]:
     return out
 
 
+def dependency_closure(wanted: DataFrame, needs: DataFrame) -> DataFrame:
+    """(feature, base): the base columns that each wanted (feature) comes from.
+
+    ``needs`` (feature, needs) lists what derived features are made of, several levels deep.
+    A pair of feature and need is followed once, so features that need each other do no harm;
+    such a feature has what else it rests on. What needs nothing is a base column, a wanted
+    feature without needs its own.
+    """
+    reached = wanted.select("feature", F.col("feature").alias("base")).distinct()
+    links = needs.select(F.col("feature").alias("_f"), F.col("needs").alias("_n")).where("_f is not null and _n is not null").distinct()
+    edge = cut_lineage(links, "needs")
+    seen = cut_lineage(reached, "closure")
+    front = seen
+    while True:
+        step = front.join(edge, front["base"] == edge["_f"]).select("feature", F.col("_n").alias("base")).distinct()
+        front = cut_lineage(step.join(seen, ["feature", "base"], "left_anti"), "closure-front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.join(edge.select(F.col("_f").alias("base")).distinct(), "base", "left_anti").select("feature", "base")
+
+
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
 

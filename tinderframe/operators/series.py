@@ -10,11 +10,12 @@ on the station key when they are chained.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tinderframe.functions.times import (
-    DAY_SECONDS,
     HOUR_SECONDS,
     as_timestamp,
     hour_number,
@@ -22,6 +23,7 @@ from tinderframe.functions.times import (
     micros_between,
     whole_hours_between,
 )
+from tinderframe.session import cut_lineage
 
 # --- regular grid -------------------------------------------------------------------
 
@@ -125,7 +127,10 @@ def interpolate_hourly(
     return grid
 
 
-SEGMENT_MICROS = 10_000_000  # ten seconds of one key's readings are sorted by one task
+SEGMENT_ROWS = 1_000_000  # rows of one key that one task sorts
+MOST_SEGMENTS = 1_024
+SKETCH_ACCURACY = 20_000
+_BROADCAST_KEYS = 10_000  # keys with their borders, at most 8 KB each
 
 
 def _nearest_outside(edges: DataFrame, within: Sequence[str], order: str) -> DataFrame:
@@ -138,17 +143,40 @@ def _nearest_outside(edges: DataFrame, within: Sequence[str], order: str) -> Dat
     )
 
 
+def _borders(rows: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, int]:
+    """Time borders of the keys with more than ``most`` rows, and how many such keys there are.
+
+    Counting shrinks on the map side. Only keys that need borders get a sketch of their
+    stamps (mergeable, of bounded size), so ordinary keys cost a counter each.
+    """
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    large = cut_lineage(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n"), "large-keys")
+    n = large.count()
+    if not n:
+        return large, 0
+    side = F.broadcast(large) if n <= _BROADCAST_KEYS else large
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    names = [f"_k{i}" for i in range(len(keys))]
+    shares = [i / MOST_SEGMENTS for i in range(1, MOST_SEGMENTS)]
+    cuts = rows.join(side, same).groupBy(*names).agg(
+        F.percentile_approx("_us", shares, SKETCH_ACCURACY).alias("_q"), F.first("_n").alias("_n")
+    )
+    # as many of the quantiles as the key has segments
+    parts = F.least(F.ceil(F.col("_n") / most), F.lit(MOST_SEGMENTS))
+    picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.element_at("_q", F.floor(i * MOST_SEGMENTS / parts).cast("int")))
+    return cut_lineage(cuts.select(*names, F.array_distinct(picked).alias("_cuts")), "borders"), n
+
+
 def bracket(
-    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment: int = SEGMENT_MICROS
+    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Last reading at or before, and first reading at or after, each target stamp; of
     readings at one stamp the smallest counts.
 
-    Readings and targets share one sort per (key, day, segment of time). What lies outside a
-    segment is carried in from tables with one row per (key, day, segment) and per (key,
-    day), bounded by the calendar. ``segment`` is a length in microseconds; any length gives
-    the same rows, since segments end with their day. Keys that report more in ten seconds
-    than a task can sort take a shorter one.
+    Readings and targets of a key share one sort. A key with more than ``segment`` rows is
+    cut at quantiles of its own stamps into parts of about equal numbers of rows, so bursts
+    are split like quiet times; what lies outside a part is carried in from a table with one
+    row per part. All rows of one instant stay together. Any ``segment`` gives the same rows.
     """
     keys = list(keys)
     known = readings.where(F.col(value).isNotNull()).select(
@@ -157,26 +185,18 @@ def bracket(
     asked = targets.select(
         *keys, F.col(ts).alias("_t"), F.lit(None).cast("double").alias("_v"), F.lit(False).alias("_knot")
     )
-    micros = F.unix_micros(F.col("_t").cast("timestamp"))
-    day = DAY_SECONDS * 1_000_000
-    rows = known.unionByName(asked).withColumns({"_day": F.floor(micros / day), "_seg": F.floor(F.pmod(micros, F.lit(day)) / segment)})
+    rows = known.unionByName(asked).withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
+    borders, n_large = _borders(rows, keys, segment)
     knot_t, knot_v = F.when(F.col("_knot"), F.col("_t")), F.col("_v")
-    ends = {
-        "_f": F.min(F.when(F.col("_knot"), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))),
-        "_l": F.max(F.when(F.col("_knot"), F.struct(F.col("_t").alias("t"), (-F.col("_v")).alias("v")))),
-    }
-    segments = rows.groupBy(*keys, "_day", "_seg").agg(*[a.alias(n) for n, a in ends.items()])
-    days = segments.groupBy(*keys, "_day").agg(F.min("_f").alias("_f"), F.max("_l").alias("_l"))
-    parts = {"_ft": F.col("_f.t"), "_fv": F.col("_f.v"), "_lt": F.col("_l.t"), "_lv": -F.col("_l.v")}
-    segments, days = segments.withColumns(parts).drop("_f", "_l"), days.withColumns(parts).drop("_f", "_l")
-    outside = ["_p_lt", "_p_lv", "_n_ft", "_n_fv"]
-    of_day = _nearest_outside(days, keys, "_day").select(*keys, "_day", *[F.col(c).alias(f"_d{c}") for c in outside])
-    carry = (
-        _nearest_outside(segments, [*keys, "_day"], "_seg")
-        .join(of_day, [*keys, "_day"])
-        .select(*keys, "_day", "_seg", *[F.coalesce(c, f"_d{c}").alias(c) for c in outside])
-    )
-    inner = W.partitionBy(*keys, "_day", "_seg")
+    within = [*keys]
+    if n_large:
+        side = F.broadcast(borders) if n_large <= _BROADCAST_KEYS else borders
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_us"))), F.lit(0))
+        part = F.when(F.col("_cuts").isNull(), 0).otherwise(part)
+        rows = rows.join(side, same, "left").withColumn("_seg", part).drop("_cuts", *[f"_k{i}" for i in range(len(keys))])
+        within.append("_seg")
+    inner = W.partitionBy(*within)
     # readings come first among equal stamps in both directions: "at or before", "at or after";
     # the smallest of them is the last one seen
     up = inner.orderBy("_t", F.desc("_knot"), F.desc("_v")).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -189,14 +209,18 @@ def bracket(
             "_av": F.last(knot_v, ignorenulls=True).over(down),
         }
     ).where(~F.col("_knot"))
-    return seen.join(carry, [*keys, "_day", "_seg"]).select(
-        *keys,
-        F.col("_t").alias(ts),
-        F.coalesce("_bt", "_p_lt").alias("t_before"),
-        F.coalesce("_bv", "_p_lv").alias("v_before"),
-        F.coalesce("_at", "_n_ft").alias("t_after"),
-        F.coalesce("_av", "_n_fv").alias("v_after"),
-    )
+    found = {"t_before": F.col("_bt"), "v_before": F.col("_bv"), "t_after": F.col("_at"), "v_after": F.col("_av")}
+    if n_large:
+        ends = rows.groupBy(*within).agg(
+            F.min(F.when(F.col("_knot"), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))).alias("_f"),
+            F.max(F.when(F.col("_knot"), F.struct(F.col("_t").alias("t"), (-F.col("_v")).alias("v")))).alias("_l"),
+        )
+        edges = ends.withColumns({"_ft": F.col("_f.t"), "_fv": F.col("_f.v"), "_lt": F.col("_l.t"), "_lv": -F.col("_l.v")}).drop("_f", "_l")
+        outside = ["_p_lt", "_p_lv", "_n_ft", "_n_fv"]
+        carry = _nearest_outside(edges, keys, "_seg").select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(within)], *outside)
+        seen = seen.join(carry, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(within)]))
+        found = {n: F.coalesce(c, o) for (n, c), o in zip(found.items(), outside)}
+    return seen.select(*keys, F.col("_t").alias(ts), *[c.alias(n) for n, c in found.items()])
 
 
 def fill_missing(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
@@ -219,7 +243,7 @@ def fill_missing(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str
 
 
 def interpolate_at(
-    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment: int = SEGMENT_MICROS
+    readings: DataFrame, targets: DataFrame, keys: Sequence[str], ts: str, value: str, segment: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Linear interpolation at arbitrary target stamps, held constant beyond both ends."""
     b = bracket(readings, targets, keys, ts, value, segment)

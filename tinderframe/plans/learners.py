@@ -8,6 +8,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -81,12 +82,19 @@ def score_windows(
     load_model: Callable[[], PredictFn],
     ts: str = "date_time",
     batch_size: int = 1024,
+    smallest: int = 32,
+    out_of_memory: tuple[type[BaseException], ...] = (MemoryError,),
+    fallbacks: Accumulator | None = None,
 ) -> DataFrame:
     """Score sequences with an external model: ``(batch, steps, features) -> (batch, steps)``.
 
     ``load_model`` runs once per task, so the model is read on the executors and never sits
     in the plan. Sequences reach it in batches of at most ``batch_size`` of equal length.
     Returns one row per key and step. Works for station windows and for grid cells alike.
+
+    A batch for which the model runs out of memory (``out_of_memory`` names its errors) is
+    tried again in halves, down to ``smallest``; the task stays at the size that worked, and
+    each step down is counted in ``fallbacks``. At the smallest size the error stands.
     """
     keys, features = list(keys), list(features)
     fields = [f for f in df.schema.fields if f.name in keys]
@@ -95,14 +103,24 @@ def score_windows(
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model()
+        model, size = load_model(), batch_size
         for pdf in batches:
             for _, same in pdf.groupby(pdf["_times"].map(len)):
-                for i in range(0, len(same), batch_size):
-                    part = same.iloc[i : i + batch_size]
-                    x = np.stack([np.vstack(part[f"_x{k}"].to_list()) for k in range(len(features))], axis=-1)
-                    y = np.asarray(model(x.astype(float)), dtype=float).reshape(len(part), -1)
+                at = 0
+                while at < len(same):
+                    part = same.iloc[at : at + size]
+                    try:
+                        x = np.stack([np.vstack(part[f"_x{k}"].to_list()) for k in range(len(features))], axis=-1)
+                        y = np.asarray(model(x.astype(float)), dtype=float).reshape(len(part), -1)
+                    except out_of_memory:
+                        if size <= smallest:
+                            raise
+                        size = max(smallest, min(size, len(part)) // 2)
+                        if fallbacks is not None:
+                            fallbacks.add(1)
+                        continue
                     yield part[[*keys, "_times"]].assign(_preds=list(y))
+                    at += len(part)
 
     # a field of an array of structs is the array of that field
     inputs = df.select(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tinderframe.functions.times import as_timestamp
 from tinderframe.operators.clean import within_bbox
-from tinderframe.session import use_utc
+from tinderframe.session import cut_lineage, use_utc
 
 
 def read_utc(spark: SparkSession, path: str) -> DataFrame:
@@ -88,16 +88,27 @@ def scan_observations(
     return df
 
 
-def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a store that a scan with ``skip_unreadable`` leaves out, as (file).
+def unreadable_files(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Files of a store from which a scan with ``skip_unreadable`` leaves rows out, as (file,
+    rows_stored, rows_read); ``rows_stored`` is null where not even the footer can be read.
 
-    A Parquet file begins and ends with its mark; files without are not whole. The contents
-    are looked at by the executors, file by file.
+    No file is fetched whole. All files are listed without their contents; a scan of no
+    columns counts the rows that footers promise and reads nothing else; a scan of
+    ``columns`` (default: all) counts the rows that can be decoded, so damage anywhere inside
+    the columns in use shows. All three are ordinary scans: distributed, in ranges, and on any
+    file system.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    mark = F.lit(b"PAR1")
-    whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
-    return files.where(~whole).select(F.col("path").alias("file"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    stored = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    name = F.col("_metadata.file_path")
+    counted = lambda df, out: df.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias(out))
+    values = F.xxhash64(*[F.col(c) for c in (columns or stored.columns)])
+    # no row fails this, but the optimizer cannot know it, so the scan has to decode the values
+    decoded = counted(stored.where(values.bitwiseAND(F.lit(0)) == 0), "rows_read")
+    every = listed.select(F.col("path").alias("file"))
+    both = every.join(counted(stored, "rows_stored"), "file", "left").join(decoded, "file", "left")
+    both = both.withColumn("rows_read", F.coalesce("rows_read", F.lit(0)).cast("long"))
+    return both.where(F.col("rows_stored").isNull() | (F.col("rows_read") < F.col("rows_stored")))
 
 
 def _to_datetime(t) -> datetime:
@@ -158,12 +169,48 @@ def stored_days(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.createDataFrame([(date(*d),) for d in days], "day date") if days else None
 
 
+#: Folder of the marks inside a store; scans pass over names with an underscore.
+MARKS = "_complete"
+
+
+def _rows_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """Rows a daily store holds per day, from its files' footers."""
+    got = spark.read.parquet(path).groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"))
+    return got.select(F.make_date("year", "month", "day").alias("day"), "n")
+
+
+def complete_days(spark: SparkSession, path: str) -> DataFrame | None:
+    """Days that were written to their end: marked, and with as many rows as their last mark
+    says; None if there is no mark yet. A folder alone proves nothing."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKS}")
+    if stored_days(spark, path) is None or not marks.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marks):
+        return None
+    last = spark.read.schema("day date, n long, written timestamp").parquet(f"{path}/{MARKS}")
+    last = last.groupBy("day").agg(F.max_by("n", "written").alias("n"))
+    return last.join(_rows_by_day(spark, path), ["day", "n"], "left_semi").select("day")
+
+
+def mark_days(spark: SparkSession, path: str, days: DataFrame) -> None:
+    """Mark (day)s as complete, after all their files are in place."""
+    if stored_days(spark, path) is None:
+        return
+    marks = _rows_by_day(spark, path).join(days, "day", "left_semi").withColumn("written", F.current_timestamp())
+    marks.coalesce(1).write.mode("append").parquet(f"{path}/{MARKS}")
+
+
 def write_missing_days(df: DataFrame, path: str, ts: str = "date_time") -> None:
-    """Add the days a store does not have yet; a second run writes nothing."""
-    have = stored_days(df.sparkSession, path)
+    """Add the days a store does not have in full; a second run writes nothing.
+
+    A day counts once it is marked, and marks are written after the files. A run that ended
+    half-way, or a day that lost a file since, is written again by the next run.
+    """
+    spark = df.sparkSession
+    have = complete_days(spark, path)
     if have is not None:
+        have = cut_lineage(have, "complete-days")  # the files it was read from are replaced below
         df = df.join(have, F.to_date(ts) == have["day"], "left_anti")
     write_days(df, path, ts)
+    mark_days(spark, path, df.select(F.to_date(ts).alias("day")).distinct())
 
 
 def scan_grid(spark: SparkSession, path: str, start, end, ts: str = "date_time") -> DataFrame:
@@ -211,9 +258,20 @@ def file_token(name: Column, index: int, sep: str = "_") -> Column:
 
 
 def with_source_token(df: DataFrame, index: int = 1, out: str = "source") -> DataFrame:
-    """Tag rows with a token of their file's name, e.g. the date that orders the files."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return df.withColumn(out, file_token(name, index))
+    """Tag rows of a scan with a token of their file's name, e.g. the date that orders the
+    files. The name comes with each row from the scan, so joins and splits do not lose it. A
+    file written by Spark is a folder of parts; the folder's name counts."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    own = F.element_at(parts, -1)
+    return df.withColumn(out, file_token(F.when(own.startswith("part-"), F.element_at(parts, -2)).otherwise(own), index))
+
+
+def source_order(df: DataFrame, source: str = "source", out: str = "file_order") -> DataFrame:
+    """Rank of each source among all of the table (1 is the first), as :func:`first_source_wins`
+    takes it. Only the distinct tokens are sorted: one per file."""
+    tokens = df.select(source).distinct()
+    ranked = tokens.select(F.col(source).alias("_s"), F.row_number().over(W.orderBy(F.asc_nulls_last(source))).alias(out))
+    return df.join(F.broadcast(ranked) if tokens.count() <= MOST_FILES else ranked, df[source].eqNullSafe(ranked["_s"])).drop("_s")
 
 
 def tile_year(name: Column, index: int = 5) -> Column:
@@ -222,6 +280,8 @@ def tile_year(name: Column, index: int = 5) -> Column:
     return F.when(year.between(2000, 2100), year)
 
 
+#: Files up to which their order is sent to every task.
+MOST_FILES = 100_000
 VALIDITY_SCHEMA = "stid string, start string, end string, valid int"
 
 
