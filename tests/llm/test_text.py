@@ -307,11 +307,29 @@ def test_contamination_equals_a_plain_search(spark, monkeypatch):
         assert got == want
 
 
+def test_proximity_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_TERMS", 0)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60))) for _ in range(40)] + ["a b"] * 3
+    items = [(0, "a b"), (1, "c d e"), (2, "h g"), (3, "zz a"), (4, "f")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter(tuple(r)[:2] + tuple(r)[3:] for r in D.proximity(docs, spark.createDataFrame(items, "item_id long, text string"), 4).select("item_id", "__id", "__h", "left_pos", "right_pos").collect())
+    n = Counter(w for t in texts for w in t.split())
+    want = Counter()
+    for i, t in items:
+        pair = sorted({w for w in t.split() if n[w]}, key=lambda w: (n[w], w))[:2]
+        if len(pair) == 2:
+            for d, text in enumerate(texts):
+                w = text.split()
+                want.update((i, d, x, y) for x in range(len(w)) for y in range(len(w)) if w[x] == pair[0] and w[y] == pair[1] and abs(x - y) <= 4)
+    assert got == want and sum(want.values()) > 100
+
+
 def test_proximity_and_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame([(1, "red x x blue x x x x red")], "doc_id long, text string")
-    own = D.keyed(docs, "text", "doc_id")
-    index = D.postings(own, spark.createDataFrame([("red",), ("blue",)], "term string"), 2, 2)
-    assert [(r["left_pos"], r["right_pos"]) for r in D.proximity_matches(index, "red", "blue", 3).collect()] == [(0, 3)]
+    asked = spark.createDataFrame([(7, "Blue x, red."), (8, "x x"), (9, None), (10, "red only here")], "item_id long, text string")
+    got = D.proximity(docs, asked, 3).collect()
+    assert [(r["item_id"], r["__id"], r["left_pos"], r["right_pos"]) for r in got] == [(7, 1, 3, 0)]
     bench = spark.createDataFrame([(1, "delta epsilon"), (None, "delta"), (2, None)], "item_id long, text string")
     got = D.contamination(odd, bench).collect()
     assert len(got) == len(ODD) and sum(r["n_hit"] > 0 for r in got) == 2
