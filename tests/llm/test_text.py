@@ -303,6 +303,7 @@ def test_contamination_equals_a_plain_search(spark, monkeypatch):
     for most in (200_000, 0):  # with and without broadcasts
         monkeypatch.setattr(D, "BROADCAST_TERMS", most)
         monkeypatch.setattr(D, "BROADCAST_WINDOWS", most)
+        monkeypatch.setattr(D, "BROADCAST_DOCUMENTS", most)
         got = {r["__id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in D.contamination(df, bench).collect()}
         assert got == want
 

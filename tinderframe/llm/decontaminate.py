@@ -33,8 +33,8 @@ from tinderframe.session import cut_lineage
 BROADCAST_TERMS = 200_000
 #: Distinct windows up to which their probes are sent to every task (two, of 10 words each).
 BROADCAST_WINDOWS = 100_000
-#: Candidates up to which they, or their documents, are sent to every task.
-BROADCAST_CANDIDATES = 100_000
+#: Documents with candidates up to which their keys (16 bytes each) are sent to every task.
+BROADCAST_DOCUMENTS = 1_000_000
 #: Everything in ASCII that is no part of a word.
 BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: The term of the posting after a document's last word.
@@ -119,15 +119,17 @@ def phrase_matches(index: Index, words: DataFrame, n_windows: int) -> DataFrame:
     intersected; then every word of a candidate is looked up in its document's postings.
     """
     spot = ["window_id", "__id", "__h", "start"]
-    probe = words.filter("rank is not null").select("no", "window_id", "off", "rank", "lists", "length")
+    probe = words.filter("rank is not null").select("no", "window_id", "off", "rank")
     shifted = index.postings.join(sent(probe, n_windows, BROADCAST_WINDOWS), "no").withColumn("start", F.col("pos") - F.col("off")).filter("start >= 0")
-    both = shifted.groupBy(*spot, "lists", "length").agg(F.count_distinct("rank").alias("found"))
-    candidates = cut_lineage(both.filter("found = lists").select(*spot, "length"), "candidates")
-    n = candidates.count()
+    both = shifted.groupBy(*spot).agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    meta = words.select("window_id", "length", "lists").distinct()
+    both = both.join(sent(meta, n_windows, BROADCAST_WINDOWS), "window_id").filter("low = 1 and high = lists")
+    candidates = cut_lineage(both.select(*spot, "length"), "candidates")
+    held = candidates.select(F.col("__id").alias("i"), F.col("__h").alias("h")).distinct()
+    n_held = held.count()
     places = candidates.join(sent(words.select("window_id", "off", "no"), n_windows, BROADCAST_WINDOWS // 10), "window_id")
     places = places.select(*spot, "length", F.col("__id").alias("i"), F.col("__h").alias("h"), (F.col("start") + F.col("off")).alias("at"), F.col("no").alias("wanted"))
-    held = candidates.select(F.col("__id").alias("i"), F.col("__h").alias("h")).distinct()
-    near = index.postings.join(sent(held, n, BROADCAST_CANDIDATES), of_document(index.postings, held), "left_semi")
+    near = index.postings.join(sent(held, n_held, BROADCAST_DOCUMENTS), of_document(index.postings, held), "left_semi")
     # rows that agree in id and text repeat their postings
     near = near.select(F.col("__id").alias("d"), F.col("__h").alias("e"), "pos", "no").distinct()
     found = places.join(near, places["i"].eqNullSafe(near["d"]) & (places["h"] == near["e"]) & (places["at"] == near["pos"]) & (places["wanted"] == near["no"]))
