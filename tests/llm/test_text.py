@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,27 @@ def test_toxicity_on_held_out_texts(spark):
     assert right >= 0.98 * len(got)
 
 
+def test_the_fit_is_bounded_by_rows_not_ids(spark):
+    """3,000 texts under one labelled id: the single task gets ``max_rows`` of them."""
+    docs = spark.createDataFrame([(i if i < 60 else 7, f"text number {i} {'bad' if i % 2 else 'good'}") for i in range(3060)] + [(8, "copy")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen, fit = spark.sparkContext.accumulator(0), TX._fit
+    try:
+        TX._fit = lambda s: lambda rows: (seen.add(len(rows)), fit(s)(rows))[1]
+        TX.train(docs, labels, TX.Settings(bits=12, max_rows=50))
+    finally:
+        TX._fit = fit
+    assert 0 < seen.value <= 50
+
+
+def test_calibration_of_separable_sums_stays_finite():
+    for scale in (1e-6, 1.0, 500.0):
+        raw = np.concatenate([np.full(50, -1.0), np.full(5, 1.0)]) * scale
+        a, b = TX.calibration(raw, (raw > 0).astype(int))
+        p = 1 / (1 + np.exp(-(a * raw + b)))
+        assert (p[:50] < 0.2).all() and (p[50:] > 0.7).all()
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     model = TX.train(odd, labels)
@@ -490,12 +512,16 @@ def test_pipeline_equals_its_plain_parts(spark, tmp_path):
             assert kept[name].columns == names
         docs = kept[name]
     ids = {n: {r["doc_id"] for r in d.select("doc_id").collect()} for n, d in kept.items()}
-    texts = {r["doc_id"]: r["text"] for r in kept["toxicity"].collect()}
-    prints = {i: int.from_bytes(SH.simhash(t.encode(), 4), "big") for i, t in texts.items()}
-    group = {i: i for i in prints}
-    for i in sorted(prints):
-        for j in sorted(prints):
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+    texts = {r["doc_id"]: r["text"] or "" for r in kept["toxicity"].collect()}
+    own = {}
+    for i, t in texts.items():  # five words, the whole sequence if there are fewer
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        own[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {i: i for i in own}
+    for i in sorted(own):
+        for j in sorted(own):
+            both = len(own[i] & own[j])
+            if j < i and group[i] != group[j] and both >= 0.8 * (len(own[i]) + len(own[j]) - both):
                 a, b = sorted((group[i], group[j]))
                 group = {k: a if g == b else g for k, g in group.items()}
     assert ids["near_dedup"] == set(group.values())

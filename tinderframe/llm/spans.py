@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tinderframe.llm.common import slices
+from tinderframe.session import cut_lineage
 
 END = re.compile(r"[.!?]\s+|\n\s*")
 
@@ -49,8 +50,8 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def spans(text: str | None, least: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(first sentence, number of sentences, hash) of each run that counts: from each
+def spans(text: str | None, least: int, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, hash of 128 bits) of each run that counts: from each
     sentence on, and up to each sentence, the shortest run that is long enough."""
     words = [s.lower().split() for s in sentences(text or "")]
     least = min(least, len(words))
@@ -63,10 +64,10 @@ def spans(text: str | None, least: int, min_words: int) -> list[tuple[int, int,
     runs = {(int(a), int(b)) for a, b in zip(at, to) if b <= len(words)}
     runs |= {(int(a), int(b) + 1) for a, b in zip(start, at) if a >= 0}
     plain = [" ".join(w) for w in words]
-    return [(a, b - a, xxhash.xxh3_64_intdigest("\n".join(plain[a:b])) - (1 << 63)) for a, b in sorted(runs)]
+    return [(a, b - a, xxhash.xxh3_128_digest("\n".join(plain[a:b]))) for a, b in sorted(runs)]
 
 
-def later_runs(runs: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+def later_runs(runs: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
     """Numbers of the runs that are the first of their hash in the text, and of the others."""
     seen, first, others = set(), [], []
     for i, (_, _, span) in enumerate(runs):
@@ -88,16 +89,16 @@ def span_table(docs: DataFrame, least: int, min_words: int, text: str = "text")
                 number += first
                 span += [own[k][2] for k in first]
             ids = [part.column(c).take(pa.array(row, pa.int64())) for c in ("__id", "__h")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(number, pa.int32()), pa.array(span, pa.int64())], ["__id", "__h", "run", "span"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(number, pa.int32()), pa.array(span, pa.binary())], ["__id", "__h", "run", "span"])
 
     rows = docs.select(F.col("__id"), "__h", F.col(text).cast("binary").alias("__text"))
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"__id {kind}, __h long, run int, span long")
+    return rows.mapInArrow(cut, f"__id {kind}, __h long, run int, span binary")
 
 
 def repeated_runs(docs: DataFrame, least: int, min_words: int, text: str = "text") -> DataFrame:
     """Per document with any: __id, __h and the numbers of runs that an earlier document has."""
-    found = span_table(docs, least, min_words, text)
+    found = cut_lineage(span_table(docs, least, min_words, text), "spans")  # read twice, cut once
     place = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__h").alias("h"))
     first = found.groupBy("span").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
     first = first.select(F.col("span").alias("__span"), F.col("__first.id").alias("__i"), F.col("__first.h").alias("__k"))

@@ -5,8 +5,10 @@ skip-grams (words two apart), lower-cased, hashed to 2**bits. FTRL-proximal keep
 per coordinate and an L1 penalty, so few weights differ from zero and the model is small
 enough to send to every worker whatever the corpus holds.
 
-FTRL is an online method: it runs in one task over a sample of labelled rows that
-``max_rows`` bounds, drawn and ordered by a hash of the id. A fifth of the sample is kept out
+FTRL is an online method: it runs in one task over a sample of labelled texts, drawn and
+ordered by a hash of id and text. ``max_rows`` bounds their number and ``max_bytes`` their
+expected size; a text that rows repeat under one id counts once. Other tasks turn the texts into
+buckets first. A fifth of the sample is kept out
 of the passes and fits a logistic calibration of the sum of weights (shrunken weights
 understate the odds), which is folded into weights and bias. Scoring is a narrow step over
 all texts, whole ones.
@@ -28,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tinderframe.llm.common import mix
+from tinderframe.session import cut_lineage
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -41,6 +44,7 @@ class Settings:
     l2: float = 0.01
     epochs: int = 3
     max_rows: int = 24_000
+    max_bytes: int = 256 << 20
     kept_out: int = 5  # one row in so many calibrates
 
 
@@ -90,27 +94,32 @@ def calibration(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     if ones in (0, len(label)):
         return 1.0, 0.0
     wanted = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
+    raw = raw / (scale := float(np.abs(raw).max()) or 1.0)
+
+    def loss(a: float, b: float) -> float:
+        z = a * raw + b
+        return float(np.logaddexp(0, z).sum() - (wanted * z).sum() + 5e-4 * a * a)
+
     a, b = 1.0, 0.0
-    for _ in range(100):  # Newton steps on two unknowns
+    for _ in range(100):  # Newton steps on two unknowns, shortened until they help
         p = 1.0 / (1.0 + np.exp(-np.clip(a * raw + b, -35, 35)))
         v = p * (1 - p) + 1e-9
         slope = np.array([((p - wanted) * raw).sum() + 1e-3 * a, (p - wanted).sum()])
         curve = np.array([[(v * raw * raw).sum() + 1e-3, (v * raw).sum()], [(v * raw).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(curve, slope)
+        while np.abs(step).max() > 1e-9 and loss(a - step[0], b - step[1]) > loss(a, b):
+            step = step / 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+    return (float(a / scale), float(b)) if a > 0 else (1.0, 0.0)
 
 
 def _fit(s: Settings):
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["__order", "__label"], kind="stable")
         model, bias = Ftrl(s), 1 << s.bits
-        examples = []
-        for text in rows["__text"]:
-            _, buckets = features([text], s.bits)
-            examples.append(np.append(np.unique(buckets), bias).astype(np.int32))
+        examples = [np.append(b, bias).astype(np.int32) for b in rows["__buckets"]]
         labels = rows["__label"].to_numpy()
         out = np.arange(len(rows)) % s.kept_out == s.kept_out - 1
         for _ in range(s.epochs):
@@ -130,13 +139,25 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: s
     """Weights of the labelled documents as rows (bucket, weight)."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__label"))
-    draw = F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 20))
-    rows = known.count()
-    if rows > s.max_rows:
-        known = known.filter(draw < F.lit(int((1 << 20) * s.max_rows / rows)))
-    # The sample is bounded by max_rows, so it may be broadcast.
-    joined = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text")).join(F.broadcast(known), "__id")
-    joined = joined.select("__label", "__text", F.xxhash64("__id", F.lit("order")).alias("__order"))
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
+    texts = texts.withColumn("__h", F.xxhash64("__text"))
+    keys = texts.select("__id", "__h", F.length("__text").alias("__n")).join(known, "__id")
+    keys = keys.groupBy("__id", "__h").agg(F.max("__n").alias("__n"), F.max("__label").alias("__label"))
+    keys = cut_lineage(keys.withColumn("__order", F.xxhash64("__id", "__h", F.lit("order"))), "labelled")
+    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    kept = min(1.0, s.max_rows / max(rows, 1), s.max_bytes / max(size, 1))
+    draw = F.pmod(F.xxhash64("__id", "__h", F.lit("sample")), F.lit(1 << 30))
+    sample = keys.filter(draw <= F.lit(int((1 << 30) * kept))).orderBy(draw).limit(s.max_rows).select(F.col("__id").alias("__i"), F.col("__h").alias("__k"), "__label", "__order")
+    # at most max_rows keys of a few numbers
+    drawn = texts.join(F.broadcast(sample), (F.col("__id") == F.col("__i")) & (F.col("__h") == F.col("__k")))
+    once = drawn.groupBy("__id", "__h").agg(F.first("__text").alias("__text"), F.first("__label").alias("__label"), F.first("__order").alias("__order"))
+
+    @F.pandas_udf("array<int>")
+    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(features([t], s.bits)[1]).astype(np.int32) for t in batch], index=batch.index, dtype=object)
+
+    joined = once.select("__label", "__order", buckets("__text").alias("__buckets"))
     model = joined.groupBy(F.lit(0).alias("__all")).applyInPandas(_fit(s), "bucket long, weight double")
     return model.toPandas().sort_values("bucket", ignore_index=True)  # few of 2**bits + 1 coordinates
 
