@@ -17,7 +17,8 @@ counts into the shared folder (under a name of its own first, then renamed, so a
 doubled task leaves one whole file). Workers map the files into memory and look sorted batches
 of hashes up; a page that no text needs is not read, and no worker holds the model.
 
-The shared folder must be mounted on the workers under one path, as mapped files need it.
+The shared folder must be mounted on the workers under one path, as mapped files need it;
+where a shard's file is missing, scoring fails instead of taking its counts as zero.
 Words enter by 64-bit hashes; two words of one hash would count as one.
 
 Defined cases: a null text is the empty one, which has its end token only; rows are scored one
@@ -154,9 +155,8 @@ def write_arrays(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 @lru_cache(4096)
 def map_arrays(path: str, *kinds: str) -> tuple[np.ndarray, ...]:
-    """The arrays of a file, mapped into memory; none if there is no such file."""
-    if not os.path.exists(path):
-        return tuple(np.zeros(0, k) for k in kinds)
+    """The arrays of a file, mapped into memory. Every shard has a file, empty or not, so one
+    that is missing is lost (or its folder not mounted here) and an error."""
     with open(path, "rb") as f:
         data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     size, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
@@ -240,7 +240,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     if texts > HOT_WORD:
         hot = np.append(hot, BEGIN)
     pairs = rows.mapInArrow(_count_pairs(hot, shards), "shard int, before binary, token binary, n binary")
-    stats = pairs.groupBy("shard").applyInArrow(_store_pairs(folder), "word long, n1 long, n2 long, n3 long, a long")
+    nothing = F.lit(b"")  # a row for each shard, so that each has a file
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"), *[nothing.alias(c) for c in ("before", "token", "n")])
+    stats = pairs.union(every).groupBy("shard").applyInArrow(_store_pairs(folder), "word long, n1 long, n2 long, n3 long, a long")
     sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "a")]
     stats = cut_lineage(stats.groupBy("word").agg(*sums), "pair-statistics")
     of_pairs = stats.filter("word is null").select("n1", "n2", "n3", "a").first()
@@ -253,12 +255,15 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     words = known.join(vocab, "word", "full")
     shard = F.pmod(F.shiftrightunsigned("word", 1), F.lit(word_shards)).cast("int")
     words = words.select(shard.alias("shard"), "word", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "n1", "n2", "n3", "a")])
+    none = [F.lit(None).cast("long").alias(c) for c in words.columns[1:]]
+    words = words.union(spark.range(word_shards).select(F.col("id").cast("int").alias("shard"), *none))
     words.groupBy("shard").applyInArrow(_store_words(folder, d, texts), "shard int, n long").agg(F.sum("n")).collect()
     return Model(folder, shards, word_shards, tokens, types, left, d, e, taken / left if left else 1.0, hot)
 
 
 def _store_words(folder: str, d: list[float], texts: int):
     def store(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.filter(rows.column("word").is_valid())
         word = rows.column("word").to_numpy().view(np.uint64)
         order = np.argsort(word)
         n, n1, n2, n3, a = (rows.column(c).to_numpy()[order] for c in ("n", "n1", "n2", "n3", "a"))
