@@ -1,6 +1,7 @@
 """Text operators: brute-force versions, planted cases and odd inputs."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -170,6 +171,15 @@ def test_language_model_equals_a_plain_one(spark, monkeypatch, hot):
         assert math.isclose(got[i]["base_score"], w[2], rel_tol=1e-9) and math.isclose(got[i]["score"], w[3], rel_tol=1e-9)
 
 
+def test_a_lost_model_file_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "b c d")], "doc_id long, text string")
+    for name in ("pairs-0", "words-0"):
+        model = N.train(docs)
+        os.remove(f"{model.folder}/{name}")
+        with pytest.raises(Exception, match=name):
+            N.score_texts(docs, model).collect()
+
+
 def test_language_model_on_odd_rows(odd, empty):
     model = N.train(empty)
     got = N.score_texts(odd, model).collect()
@@ -372,16 +382,31 @@ def test_top_k_equals_brute_force(spark, monkeypatch, node):
     v = np.round(centers[rng.integers(0, 6, 500)] + rng.normal(0, 6, (500, 8))).astype(int)
     v[100:260] = v[100]  # a hot vector, many ties
     rows = [(i, [int(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (7, [int(x) for x in v[7]]), (901, [1, 2])]
+    again = [(11, v[11]), (11, v[300]), (21, v[400]), (21, v[400]), (101, v[5]), (None, v[11]), (None, v[0])]
+    rows += [(i, [int(x) for x in r]) for i, r in again]
     df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
-    got = sorted(tuple(r) for r in TK.top_k(df, 9, F.col("vec_id") % 10 == 1).collect())
-    ids = np.array([i for i, r in rows if r])
+    got = Counter(tuple(r) for r in TK.top_k(df, 9, F.col("vec_id") % 10 == 1).collect())
+    ids = np.array([TK.NO_ID if i is None else i for i, r in rows if r])
     flat = np.array([r + [0] * (8 - len(r)) for _, r in rows if r])
     want = []
     for q in np.flatnonzero(ids % 10 == 1):
         s = flat @ flat[q]
-        order = [j for j in np.lexsort([ids, -s]) if ids[j] != ids[q]][:9]
-        want += [(int(ids[q]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(order)]
-    assert got == sorted(want)
+        order = [j for j in np.lexsort([ids, -s]) if j != q][:9]  # every row but the query's own
+        want += [(int(ids[q]), k + 1, None if ids[j] == TK.NO_ID else int(ids[j]), int(s[j])) for k, j in enumerate(order)]
+    assert got == Counter(want)
+
+
+def test_query_rows_of_one_id_have_lists_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1, 0]), (0, [0, 1]), (1, [3, 5])], "vec_id long, v array<bigint>")
+    got = Counter(tuple(r) for r in TK.top_k(df, 2, F.col("vec_id") == 0).collect())
+    assert got == Counter([(0, 1, 1, 3), (0, 2, 0, 0), (0, 1, 1, 5), (0, 2, 0, 0)])
+
+
+def test_top_k_ignores_clashing_columns(spark):
+    names = ("id", "row", "ask", "cell", "node", "rank", "score", "query_id", "query_row")
+    df = spark.createDataFrame([(1, [1, 2]), (2, [3, 0]), (None, [5, 5])], "vec_id long, v array<bigint>")
+    got = TK.top_k(df.withColumns({c: F.lit(7) for c in names}), 2, F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(1, 1, None, 15), (1, 2, 2, 3)]
 
 
 def test_top_k_small_and_empty(spark):

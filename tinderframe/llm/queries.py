@@ -147,13 +147,13 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOPK_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-n as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from v),
-s as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
-      from n q join n c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 20 = 0 group by 1, 2)
+n as (select r, vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from v),
+s as (select q.r, c.r as other, any_value(q.vec_id) as query_id, any_value(c.vec_id) as vec_id, sum(q.x * c.x)::bigint as score
+      from n q join n c on q.i = c.i and q.r <> c.r where q.vec_id % 20 = 0 group by q.r, c.r)
 select query_id, rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 20"""
+from (select *, row_number() over (partition by r order by score desc, vec_id)::int as rank from s) where rank <= 20"""
 
 
 @query("op7_topk", _TOPK_SQL)

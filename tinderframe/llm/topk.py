@@ -2,8 +2,8 @@
 
 Queries and candidates are indexed together. The top level of the cover tree is a set of
 pivots, picked far apart from a bounded sample; every vector belongs to its nearest pivot, and
-a pivot's vectors make one node, or several by a hash of the id where they are many (a vector
-that a third of the rows share, say). Within a node a task builds a cover tree: a point, the
+a pivot's vectors make one node, or several by a hash of the row where they are many (a vector
+or an id that a third of the rows share, say). Within a node a task builds a cover tree: a point, the
 radius of all points under it, and children that are nets of half the radius.
 
 1. Each node's queries are searched in their own node, which bounds each query's kth score
@@ -20,9 +20,11 @@ searched. Scores are integers and exact. Node rows hold packed arrays; a task ho
 and streams query groups past it.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as
-query or candidate; shorter vectors count as padded with zeros; a query never finds rows of
-its own id; repeated candidate rows are ranked one by one; ties go to the smaller id; fewer
-candidates than k give fewer rows; an empty table gives an empty result.
+query or candidate; shorter vectors count as padded with zeros; a query is a row: it never
+finds itself, but does find other rows of its id, and each of several query rows of one id has
+a list of its own; repeated candidate rows are ranked one by one; ties go to the smaller id,
+null ids last (the largest long counts as null); fewer candidates than k give fewer rows; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ SAMPLE = 2048
 NODE = 4096
 MOST_NODES = 4096
 LEAF = 48
+NO_ID = 2**63 - 1  # stands for a null id
 
 
 def finite(v: Column) -> Column:
@@ -102,38 +105,39 @@ class CoverTree:
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; rows are (id, row number) pairs."""
 
-    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
-        self.query, self.k = ids, k
-        self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.has = np.zeros((len(ids), k), bool)
-        self.floor = np.full(len(ids), np.iinfo(np.int64).min) if floor is None else floor
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.query, self.k, size = queries, k, len(queries)
+        self.score = np.full((size, k), np.iinfo(np.int64).min)
+        self.id = np.full((size, k), np.iinfo(np.int64).max)
+        self.has = np.zeros((size, k), bool)
+        self.floor = np.full(size, np.iinfo(np.int64).min) if floor is None else floor
 
     def kth(self, at: np.ndarray) -> np.ndarray:
         return np.maximum(self.score[at, -1], self.floor[at])
 
-    def offer(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        wanted = (scores >= self.kth(at)[:, None]) & (self.query[at][:, None] != ids)
+    def offer(self, at: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
+        wanted = (scores >= self.kth(at)[:, None]) & (self.query[at, 1][:, None] != rows[:, 1])
         some = wanted.any(axis=1)
         at, scores, wanted = at[some], scores[some], wanted[some]
         if not len(at):
             return
         low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
         score = np.concatenate([self.score[at], np.where(wanted, scores, low)], axis=1)
-        ident = np.concatenate([self.id[at], np.where(wanted, ids, high)], axis=1)
+        ident = np.concatenate([self.id[at], np.where(wanted, rows[:, 0], high)], axis=1)
         has = np.concatenate([self.has[at], wanted], axis=1)
         # of what cannot be told apart by score, the smaller id, real entries first
         order = np.lexsort([ident, -score.astype(np.float64) if np.abs(scores).max(initial=0) < 2**52 else ~score, ~has], axis=-1)[:, : self.k]
         self.score[at], self.id[at], self.has[at] = (np.take_along_axis(x, order, 1) for x in (score, ident, has))
 
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, place = np.nonzero(self.has)
-        return self.query[row], self.id[row, place], self.score[row, place]
+    def found(self) -> np.ndarray:
+        """(query row, query id, id, score) of all entries."""
+        at, place = np.nonzero(self.has)
+        return np.stack([self.query[at, 1], self.query[at, 0], self.id[at, place], self.score[at, place]], axis=1)
 
 
-def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) -> None:
+def dual_search(queries: CoverTree, data: CoverTree, rows: np.ndarray, best: Best) -> None:
     """Offers every pair that can matter to ``best``; pairs of nodes are pruned together."""
     if not queries.center or not data.center:
         return
@@ -162,19 +166,19 @@ def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best
             if len(own):
                 own = own[bound(q, own, np.zeros(len(own))) >= worst]
             if len(own):
-                best.offer(at, dots(queries.points[at], data.points[own]), ids[own])
+                best.offer(at, dots(queries.points[at], data.points[own]), rows[own])
             if data.children[d]:
                 below = np.array(data.children[d])
                 top = bound(q, centers[below], radii[below])
                 for i in np.argsort(top):  # the best one is popped first
                     if top[i] >= worst:
                         if queries.children[q]:
-                            _descend(queries, q, data, int(below[i]), ids, best, bound, centers, radii)
+                            _descend(queries, q, data, int(below[i]), rows, best, bound, centers, radii)
                         else:
                             todo.append((q, int(below[i])))
 
 
-def _descend(queries, q, data, d, ids, best, bound, centers, radii) -> None:
+def _descend(queries, q, data, d, rows, best, bound, centers, radii) -> None:
     """A query node's own points against all below a data node; its children go apart."""
     at, todo = queries.own[q], [d]
     while todo:
@@ -182,7 +186,7 @@ def _descend(queries, q, data, d, ids, best, bound, centers, radii) -> None:
         if bound(q, centers[d : d + 1], radii[d : d + 1])[0] < best.kth(at).min():
             continue
         if len(own := data.own[d]):
-            best.offer(at, dots(queries.points[at], data.points[own]), ids[own])
+            best.offer(at, dots(queries.points[at], data.points[own]), rows[own])
         todo += data.children[d]
 
 
@@ -222,23 +226,23 @@ def pivots(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
-NODE_SCHEMA = "node long, ids binary, vecs binary, qids binary, qvecs binary, kth binary, worst long, qcenter array<double>, qradius double, center array<double>, radius double, bids binary, bscores binary, bquery binary"
+#: ``rows`` and ``qrows`` hold (id, row number) pairs, ``best`` what a node's queries found in it.
+NODE_SCHEMA = "node long, rows binary, vecs binary, qrows binary, qvecs binary, kth binary, worst long, qcenter array<double>, qradius double, center array<double>, radius double, best binary"
 
 
 def _build(dim: int, k: int):
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        ids, vecs, asks = rows["id"].to_numpy(np.int64), _padded(rows["v"].tolist(), dim), rows["ask"].to_numpy(bool)
-        tree, qids, qvecs = CoverTree(vecs), ids[asks], vecs[asks]
-        best = Best(qids, k)
-        dual_search(CoverTree(qvecs), tree, ids, best)
-        query, found, score = best.found()
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["id", "row"])
+        rows, vecs, asks = part[["id", "row"]].to_numpy(np.int64), _padded(part["v"].tolist(), dim), part["ask"].to_numpy(bool)
+        tree, qrows, qvecs = CoverTree(vecs), rows[asks], vecs[asks]
+        best = Best(qrows, k)
+        dual_search(CoverTree(qvecs), tree, rows, best)
         ball = lambda v: (c := v.mean(axis=0), float(np.sqrt(((v - c) ** 2).sum(axis=1)).max()))
         qcenter, qradius = ball(qvecs) if len(qvecs) else (np.zeros(dim), 0.0)
         center, radius = ball(vecs)
-        kth = best.kth(np.arange(len(qids)))
+        kth = best.kth(np.arange(len(qrows)))
         return pd.DataFrame(
-            [[rows["node"].iloc[0], _pack(ids), _pack(vecs), _pack(qids), _pack(qvecs), _pack(kth), int(kth.min()) if len(kth) else 0, qcenter.tolist(), qradius, center.tolist(), radius, _pack(found), _pack(score), _pack(query)]],
+            [[part["node"].iloc[0], _pack(rows), _pack(vecs), _pack(qrows), _pack(qvecs), _pack(kth), int(kth.min()) if len(kth) else 0, qcenter.tolist(), qradius, center.tolist(), radius, _pack(best.found())]],
             columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")],
         )
 
@@ -260,39 +264,44 @@ def _pairs(balls: pd.DataFrame, dim: int):
     return pair
 
 
+def _batch(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["query_row", "query_id", "vec_id", "score"])
+
+
 def _search(dim: int, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by d, a node's vectors before the query groups that ask it."""
-        ids, tree = np.zeros(0, np.int64), None
+        rows, tree = np.zeros((0, 2), np.int64), None
         for batch in batches:
             for kind, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "a", "b", "c"))):
                 if kind == 0:
-                    ids, tree = _open(a), CoverTree(_open(b, dim))
+                    rows, tree = _open(a, 2), CoverTree(_open(b, dim))
                     continue
-                best = Best(_open(a), k, floor=_open(c))
-                dual_search(CoverTree(_open(b, dim)), tree, ids, best)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found()], ["query_id", "vec_id", "score"])
+                best = Best(_open(a, 2), k, floor=_open(c))
+                dual_search(CoverTree(_open(b, dim)), tree, rows, best)
+                yield _batch(best.found())
 
     return search
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bquery", "bids", "bscores"))):
-            yield pa.RecordBatch.from_arrays([pa.array(_open(x)) for x in row], ["query_id", "vec_id", "score"])
+        for blob in batch.column("best").to_pylist():
+            yield _batch(_open(blob, 4))
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, k: int, is_query: Column, vec_id: str = "vec_id", vector: str = "v") -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best; ``vector`` holds integers."""
-    rows = vectors.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull())
-    rows = rows.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
-    rows = cut_lineage(rows, "vectors")
+    """(query_id, rank, vec_id, score) of each query row's k best; ``vector`` holds integers."""
+    rows = vectors.filter(F.col(vector).isNotNull())
+    rows = rows.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask"))
+    # stored with the numbers, so that all later stages agree on them
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     count, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     dim = max(dim, 1)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").toPandas()["v"]
     top = pivots(_padded(sample.tolist(), dim), PIVOTS)
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,22 +309,24 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, vec_id: str = "vec_id",
             away = (top.astype(float) ** 2).sum(axis=1) - 2.0 * _padded(part["v"].tolist(), dim).astype(float) @ top.T
             yield part.assign(cell=away.argmin(axis=1) if len(part) else [])
 
-    cells = cut_lineage(rows.mapInPandas(nearest, "id long, v array<bigint>, ask boolean, cell long"), "cells")
+    cells = cut_lineage(rows.mapInPandas(nearest, "id long, v array<bigint>, ask boolean, row long, cell long"), "cells")
     most = max(NODE, -(-count // MOST_NODES))
     parts, base = {}, 0
     for r in cells.groupBy("cell").count().collect():  # one row per pivot
         parts[r["cell"]] = (base, -(-r["count"] // most))
         base += parts[r["cell"]][1]
-    first = F.coalesce(*[F.when(F.col("cell") == c, F.lit(b) + F.pmod(F.xxhash64("id"), F.lit(n))) for c, (b, n) in sorted(parts.items())], F.lit(0)).cast("long")
-    nodes = cells.select("id", "v", "ask", first.alias("node")).groupBy("node").applyInPandas(_build(dim, k), NODE_SCHEMA)
+    first = F.coalesce(*[F.when(F.col("cell") == c, F.lit(b) + F.pmod(F.xxhash64("id", "row"), F.lit(n))) for c, (b, n) in sorted(parts.items())], F.lit(0)).cast("long")
+    nodes = cells.select("id", "v", "ask", "row", first.alias("node")).groupBy("node").applyInPandas(_build(dim, k), NODE_SCHEMA)
     nodes = cut_lineage(nodes, "nodes")
     balls = nodes.select("node", "center", "radius").toPandas()  # MOST_NODES + PIVOTS rows at most
-    asking = nodes.filter(F.length("qids") > 0)
+    asking = nodes.filter(F.length("qrows") > 0)
     pairs = asking.select("node", "qcenter", "qradius", "worst").mapInPandas(_pairs(balls, dim), "q long, d long")
-    groups = asking.select(F.col("node").alias("q"), F.col("qids").alias("a"), F.col("qvecs").alias("b"), F.col("kth").alias("c"))
+    groups = asking.select(F.col("node").alias("q"), F.col("qrows").alias("a"), F.col("qvecs").alias("b"), F.col("kth").alias("c"))
     asked = pairs.join(groups, "q").select("d", F.lit(1).alias("kind"), "a", "b", "c")
-    data = nodes.select(F.col("node").alias("d"), F.lit(0).alias("kind"), F.col("ids").alias("a"), F.col("vecs").alias("b"), F.lit(None).cast("binary").alias("c"))
+    data = nodes.select(F.col("node").alias("d"), F.lit(0).alias("kind"), F.col("rows").alias("a"), F.col("vecs").alias("b"), F.lit(None).cast("binary").alias("c"))
     stream = data.union(asked).repartition("d").sortWithinPartitions("d", "kind")
-    found = stream.mapInArrow(_search(dim, k), FOUND).union(nodes.select("bquery", "bids", "bscores").mapInArrow(_unpack, FOUND))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = stream.mapInArrow(_search(dim, k), FOUND).union(nodes.select("best").mapInArrow(_unpack, FOUND))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    kept = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    named = {c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("query_id", "vec_id")}
+    return kept.withColumns(named).select("query_id", "rank", "vec_id", "score")
