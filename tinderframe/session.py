@@ -69,7 +69,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Delete one stage table; what was made of it must be stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete all stage tables of this session; results that still read them must be stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_stage(spark, f"{ensure_checkpoint_dir(spark)}/tables")
