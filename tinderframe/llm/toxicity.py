@@ -1,7 +1,9 @@
 """Toxicity scores from FTRL-proximal logistic regression over hashed word features.
 
-Features of a text are the distinct buckets of its words, word pairs (neighbours) and
-skip-grams (words two apart), lower-cased, hashed to 2**bits. FTRL-proximal keeps a step size
+Features of a text are the distinct buckets of its words, word pairs (neighbours),
+skip-grams (words two apart) and word stems (the first ``STEM`` bytes, a crude stem for
+inflecting languages; one bucket more for each of ``LEVELS`` occurrences it reaches), lower-cased,
+hashed to 2**bits. FTRL-proximal keeps a step size
 per coordinate and an L1 penalty, so few weights differ from zero and the model is small
 enough to send to every worker whatever the corpus holds.
 
@@ -33,6 +35,8 @@ from tinderframe.llm.common import mix
 from tinderframe.session import cut_lineage
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+STEM = 6
+LEVELS = (1, 2, 4)
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,8 @@ class Settings:
 
 
 def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word, pair and skip-gram, repeats included."""
+    """(row, bucket) of every word, pair and skip-gram, repeats included, and of every stem
+    and level it reaches."""
     found = [WORD.findall(t.lower()) if t else [] for t in texts]
     counts = np.array([len(w) for w in found], dtype=np.int64)
     row = np.repeat(np.arange(len(texts)), counts)
@@ -62,6 +67,12 @@ def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarr
             gram = mix(word[:-gap] * np.uint64(0x9E3779B97F4A7C15) + word[gap:] + np.uint64(gap << 41))
             rows.append(row[:-gap][together])
             grams.append(gram[together])
+    stem = np.fromiter((crc32(w[:STEM]) for ws in found for w in ws), dtype=np.uint64, count=len(row))
+    stem, times = np.unique(row.astype(np.uint64) << np.uint64(32) | stem, return_counts=True)
+    for level in LEVELS:
+        often = stem[times >= level]
+        rows.append((often >> np.uint64(32)).astype(row.dtype))
+        grams.append(mix((often & np.uint64(0xFFFFFFFF)) + np.uint64(level << 44)))
     return np.concatenate(rows), (np.concatenate(grams) >> shift).astype(np.int64)
 
 
