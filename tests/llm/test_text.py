@@ -536,6 +536,39 @@ def test_licence_lines_alone_are_found_by_templates(spark):
     assert len(got) == 50 and {(r["family"], r["likeness"], r["confirmed"]) for r in got} == {("MIT", 1.0, True)}
 
 
+def test_wrapped_notices_are_one_paragraph(spark):
+    rng = random.Random(19)
+    rows = [(i, "\n".join(span_words(rng, 12) for _ in range(4))) for i in range(150)]
+    notice = LI.TEMPLATES["MIT"][2]
+    cut = [notice[:77].rsplit(" ", 1)[0]]
+    cut += [notice[len(cut[0]) + 1 :][:70].rsplit(" ", 1)[0]]
+    cut += [notice[len(cut[0]) + len(cut[1]) + 2 :]]
+    rows += [(200, "\n".join(cut)), (201, "\r\n".join(["A title", *cut, "", "more words"])), (202, "First sentence of an ordinary paragraph here.\n" + notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = LI.scan(docs).collect()
+    assert {(r["doc_id"], r["paragraph"], r["family"], r["likeness"]) for r in got} == {(200, 0, "MIT", 1.0), (201, 1, "MIT", 1.0), (202, 1, "MIT", 1.0)}
+    parts = [r["line"] for r in LI.paragraphs(docs.filter("doc_id = 201")).orderBy("paragraph").collect()]
+    assert parts == ["A title\r", "\r\n".join(cut) + "\r", "more words"]
+    long = spark.createDataFrame([(1, "a" * 39 + "\nb"), (2, "a" * 40 + "\nb"), (3, "a" * 120 + "\nb"), (4, "a" * 121 + "\nb"), (5, "a" * 40 + ".\nb")], "doc_id long, text string")
+    assert {r["doc_id"]: r["count"] for r in LI.paragraphs(long).groupBy("doc_id").count().collect()} == {1: 2, 2: 1, 3: 1, 4: 2, 5: 2}
+
+
+def test_cues_leave_out_no_call(spark):
+    rng = random.Random(29)
+    rows = [(i, "\n".join(span_words(rng, 12) for _ in range(3))) for i in range(120)]
+    rows += [(500 + i, t) for i, t in enumerate(t for ts in LI.TEMPLATES.values() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = LI.paragraphs(docs)
+    scanner = LI.train(lines)
+    scored = scanner.model.transform(LI.featured(lines, LI.Settings())).collect()
+    plain = {(r["doc_id"], r["paragraph"]): r["__p"].toArray()[1:] for r in scored}
+    want = {(k, scanner.families[1 + int(p.argmax())]) for k, p in plain.items() if p.max() >= scanner.least}
+    assert len(want) > 20 and {((r["doc_id"], r["paragraph"]), r["family"]) for r in LI.scan(docs).collect()} == want
+    sample = spark.createDataFrame([(["the", "of"],)] * 9 + [(["license"],)], "w array<string>")
+    assert LI.cue_words([["the", "license"], ["of", "the"], ["rights"]], sample, LI.Settings(common=0.2)) == ["license", "of", "rights", "the"]
+    assert LI.cue_words([["the", "license"], ["rights"]], sample, LI.Settings(common=0.2)) == ["license", "rights"]
+
+
 def test_licence_scan_of_odd_rows(spark, odd, empty):
     odd = odd.withColumns({c: F.lit(1) for c in ("w", "line", "paragraph", "family", "p")})
     notice = spark.createDataFrame([(9, "Released under the MIT License.\n\nplain words of no kind")], "doc_id long, text string")
