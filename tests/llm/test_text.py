@@ -569,6 +569,32 @@ def test_cues_leave_out_no_call(spark):
     assert LI.cue_words([["the", "license"], ["rights"]], sample, LI.Settings(common=0.2)) == ["license", "rights"]
 
 
+def test_a_notice_of_common_words_alone_is_called(spark):
+    """Every word of the notice is common in the corpus, only their order is not."""
+    rng = random.Random(39)
+    notice = LI.TEMPLATES["MIT"][2].replace(" without restriction", "")
+    common = sorted(set(notice.lower().replace(",", "").replace(".", "").split()))
+    mixed = lambda: " ".join(rng.sample(span_words(rng, 9).split() + rng.sample(common, 1), 10))
+    rows = [(i, "\n".join(mixed() for _ in range(3))) for i in range(150)] + [(500, notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = LI.paragraphs(docs)
+    held = LI.training_rows(lines, LI.Settings()).filter("family = 'unknown'")
+    cues = LI.cue_words([r["w"] for r in LI.template_table(spark).collect()], held, LI.Settings())
+    assert not set(cues) & set(common)
+    scanner = LI.train(lines)
+    scored = scanner.model.transform(LI.featured(lines, LI.Settings())).collect()
+    want = {(r["doc_id"], r["paragraph"]) for r in scored if max(r["__p"][1:]) >= scanner.least}
+    got = LI.scan(docs).collect()
+    assert (500, 0) in want and {(r["doc_id"], r["paragraph"]) for r in got} == want
+    assert [(r["family"], r["confirmed"]) for r in got if r["doc_id"] == 500] == [("MIT", True)]
+
+
+def test_word_pairs_equal_grams(spark):
+    rows = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "a", "\u00e9"],)], "w array<string>")
+    got = rows.select(LI.pairs(F.col("w")).alias("p"), LI.grams(F.col("w"), 2).alias("g")).collect()
+    assert all(r["p"] == r["g"] for r in got) and got[3]["p"] == ["a b", "b a", "a \u00e9"]
+
+
 def test_licence_scan_of_odd_rows(spark, odd, empty):
     odd = odd.withColumns({c: F.lit(1) for c in ("w", "line", "paragraph", "family", "p")})
     notice = spark.createDataFrame([(9, "Released under the MIT License.\n\nplain words of no kind")], "doc_id long, text string")
