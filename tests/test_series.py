@@ -1,3 +1,4 @@
+import bisect
 import random
 from datetime import datetime, timedelta
 
@@ -74,6 +75,19 @@ def test_interpolation_at_any_stamp_equals_numpy(spark, most):
     np.testing.assert_allclose([g["fm"] for g in got], want, rtol=1e-6)
 
 
+def test_parts_are_found_by_halving(spark):
+    """A row's part is found without a walk over all cuts of its key, and is the same."""
+    rng = random.Random(6)
+    lists = [sorted(rng.sample(range(5_000), n)) for n in (0, 1, 2, 3, 511, 512, 1_022, S.MOST_SEGMENTS - 1)]
+    asked = [(c, at) for c in lists for at in {-1, 5_000, *c[:2], *c[-2:], *rng.sample(range(5_000), 50)}]
+    rows = spark.createDataFrame(asked + [(None, 3), ([1, 2], None)], "cuts array<long>, at long")
+    got = rows.select("cuts", "at", S._cut_number(F.col("cuts"), F.col("at")).alias("n")).collect()
+    assert all(r["n"] == (bisect.bisect_right(r["cuts"], r["at"]) if r["cuts"] and r["at"] is not None else 0) for r in got)
+    readings = frame(spark, [("a", T0 + timedelta(seconds=i), float(i)) for i in range(50)])
+    plan = S.bracket(readings, readings, ["stid"], "date_time", "fm", segment=5)._jdf.queryExecution().analyzed().toString()
+    assert "_cuts" in plan and "filter(_cuts" not in plan
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 7, 16])
 def test_equal_stamps_give_the_smallest_reading(spark, partitions):
     """Two hundred readings at one stamp, whatever the partitions."""

@@ -164,7 +164,14 @@ def _borders(rows: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame
     # as many of the quantiles as the key has segments
     parts = F.least(F.ceil(F.col("_n") / most), F.lit(MOST_SEGMENTS))
     picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.element_at("_q", F.floor(i * MOST_SEGMENTS / parts).cast("int")))
-    return cut_lineage(cuts.select(*names, F.array_distinct(picked).alias("_cuts")), "borders"), n
+    return cut_lineage(cuts.select(*names, F.array_sort(F.array_distinct(picked)).alias("_cuts")), "borders"), n
+
+
+def _cut_number(cuts: Column, at: Column) -> Column:
+    """How many of up to ``MOST_SEGMENTS`` - 1 ascending cuts are at or below ``at``, found by
+    halving: ten looks at most, however many cuts a key has. No cuts count as none."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((MOST_SEGMENTS - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) <= at, n + step).otherwise(n))
 
 
 def bracket(
@@ -192,8 +199,7 @@ def bracket(
     if n_large:
         side = F.broadcast(borders) if n_large <= _BROADCAST_KEYS else borders
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_us"))), F.lit(0))
-        part = F.when(F.col("_cuts").isNull(), 0).otherwise(part)
+        part = _cut_number(F.col("_cuts"), F.col("_us"))
         rows = rows.join(side, same, "left").withColumn("_seg", part).drop("_cuts", *[f"_k{i}" for i in range(len(keys))])
         within.append("_seg")
     inner = W.partitionBy(*within)
