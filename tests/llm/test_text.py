@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tinderframe.llm import decontaminate as D, licences as LI, mixing as MI, ngrams as N, simhash as SH, spans as SP, tokencount as TC, topk as TK, toxicity as TX, urls as U
+from tinderframe.llm.common import LETTERS, ascii_lower, words
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -595,6 +596,51 @@ def test_word_pairs_equal_grams(spark):
     assert all(r["p"] == r["g"] for r in got) and got[3]["p"] == ["a b", "b a", "a \u00e9"]
 
 
+def test_every_paragraph_trains_until_the_fit_converges(spark):
+    """Prose that a draw of 4,000 paragraphs leaves out is learned as unknown all the same."""
+    rng = random.Random(49)
+    prose = [span_words(rng, 12) for _ in range(6000)]
+    odd = [" ".join([span_words(rng, 3), "mit license", span_words(rng, 2), "released", span_words(rng, 3)]) for _ in range(500)]
+    draw = F.pmod(F.xxhash64("value", F.lit("unknown")), F.lit(1 << 30)) >= 0.75 * (1 << 30)
+    odd = [r["value"] for r in spark.createDataFrame(odd, "string").filter(draw).collect()]
+    notice = "Released under the MIT License."
+    rows = [*enumerate(prose), *enumerate(odd, 10_000), *enumerate(prose[:50], 20_000), (30_000, notice)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = LI.paragraphs(docs)
+    unknown = LI.training_rows(lines, LI.Settings()).filter("family = 'unknown'")
+    assert len(odd) > 100 and unknown.select("w").distinct().count() == len({*prose, *odd})
+    scanner = LI.train(lines)
+    assert scanner.model.summary.totalIterations < LI.Settings().iterations
+    assert {r["doc_id"] for r in LI.scan(docs).collect()} == {30_000}
+    with pytest.raises(RuntimeError, match="converged"):
+        LI.train(lines, LI.Settings(iterations=5))
+
+
+def test_licence_training_counts_different_paragraphs_once(spark):
+    rows = [(i, f"{a} {b} plain") for i, (a, b) in enumerate([("north", "south"), ("east", "west"), ("east", "west")])]
+    rows += [(9, "the the plain"), (10, "plain the plain"), (11, "under the terms of nothing")]
+    sets = LI.training_sets(LI.paragraphs(spark.createDataFrame(rows, "doc_id long, text string")), LI.Settings())
+    assert sets.filter("label = 0").agg(F.sum("n")).first()[0] == 4
+    assert sets.filter("label > 0").agg(F.sum("n")).first()[0] == sum(map(len, LI.TEMPLATES.values())) * LI.Settings().variants
+    assert sets.filter("label > 0 and held").count() == 0
+
+
+def test_unknown_paragraphs_all_held_out_leave_the_templates_to_decide(spark):
+    lines = [f"river{chr(97 + i)} mountain" for i in range(20)]
+    seen = LI.paragraphs(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    line = seen.filter(F.pmod(F.xxhash64("w", F.lit("held out")), F.lit(4)) == 0).first()["line"]
+    docs = spark.createDataFrame([(1, line), (2, "Released under the MIT License.")], "doc_id long, text string")
+    assert {(r["doc_id"], r["family"]) for r in LI.scan(docs).collect()} == {(2, "MIT")}
+
+
+def test_licence_words_are_those_of_the_shared_pattern(spark):
+    texts = ["", " ", "A", " a-B  c9d 12,5\u00e9\u00c9 ", "\x7fx{y}\u2014z\U0001f600 q\r\n", "\ud55c\uae00 `k` 3.0", "...", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = words(F.regexp_replace(ascii_lower(F.col("text")), "[0-9]+", "0"), LETTERS)
+    got = docs.select(LI.plain_words(F.col("text")).alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)
+
+
 def test_licence_scan_of_odd_rows(spark, odd, empty):
     odd = odd.withColumns({c: F.lit(1) for c in ("w", "line", "paragraph", "family", "p")})
     notice = spark.createDataFrame([(9, "Released under the MIT License.\n\nplain words of no kind")], "doc_id long, text string")
